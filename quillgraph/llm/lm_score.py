@@ -28,8 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.plans.scratch import scratch
+
 from . import ctw
-from .common import of_hash, pack, scratch, text_bytes, unpack
+from .common import of_hash, pack, text_bytes, unpack
 
 END = b"\n"
 SLICE = 2 << 20

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lm_score
+from . import lm_score, near_dup, wu_manber
 from .common import crc_share
 
 
@@ -19,5 +20,43 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(docs, crc_share(docs["doc_id"], 10, 0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_lm_scoring": op1_lm_scoring}
-ORACLE_SQL: dict[str, str] = {}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = wu_manber.scan(docs, _table(spark, sf_dir, "benchmark"), prefix="")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, threshold_pct=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op7_benchmark_decontamination, op10_minhash_near_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op7_benchmark_decontamination": r"""
+with
+d as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+iw as (select distinct item_id, len(x) n, array_to_string(x,' ') x from (select item_id, unnest(case when len(w)=0 then [] when len(w)<10 then [w] else [w[k:k+9] for k in range(1,len(w)-8)] end) x from i)),
+sizes as (select distinct n from iw),
+dw as (select doc_id, n, k, array_to_string(w[k:k+n-1],' ') x from (select doc_id, w, n, unnest(range(1,len(w)-n+2)) k from d, sizes where len(w)>=n)),
+o as (select doc_id, item_id, k, dw.n from dw join iw on dw.x=iw.x and dw.n=iw.n),
+h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k,k+n)) p from o) group by 1),
+t as (select doc_id, count(*) n_items, sha256(string_agg(item_id,',' order by item_id)) s from (select distinct doc_id, item_id::varchar item_id from o) group by 1)
+select d.doc_id, len(w) n_words, coalesce(n_hit,0) n_hit, coalesce(n_items,0) n_items, coalesce(s,sha256('')) items_sha256, coalesce(n_hit,0)>0 contaminated
+from d left join h using(doc_id) left join t using(doc_id)
+""",
+    "op10_minhash_near_dedup": r"""
+with recursive
+d as (select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x20\x09-\x0D]+') if x<>''] w from documents),
+s as (select doc_id, case when len(w)=0 then [] when len(w)<3 then [array_to_string(w,' ')] else list_distinct([array_to_string(w[i:i+2],' ') for i in range(1,len(w)-1)]) end g from d),
+e as (select doc_id, unnest(g) x from s),
+n as (select doc_id, len(g) n from s),
+p as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.x=b.x and a.doc_id<b.doc_id group by 1,2),
+l as (select a,b from p join n na on na.doc_id=a join n nb on nb.doc_id=b where 100*c >= 85*(na.n+nb.n-c)),
+u as (select a,b from l union all select b,a from l),
+r(a,b) as (select doc_id, doc_id from n union select r.a,u.b from r join u on r.b=u.a)
+select n.doc_id, n.n n_shingles, c.c component_id, n.doc_id=c.c kept from n join (select a, min(b) c from r group by 1) c on c.a=n.doc_id
+""",
+}
