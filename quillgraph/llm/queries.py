@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score, near_dup, wu_manber
+from . import external_shuffle, lm_score, near_dup, source_mix, wu_manber
 from .common import crc_share
 
 
@@ -20,6 +20,19 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(docs, crc_share(docs["doc_id"], 10, 0))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = source_mix.plan(_table(spark, sf_dir, "documents"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    found = external_shuffle.shuffle(docs, key=F.xxhash64("doc_id", "text"), size=size)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(external_shuffle.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = wu_manber.scan(docs, _table(spark, sf_dir, "benchmark"), prefix="")
@@ -32,8 +45,26 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op7_benchmark_decontamination, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op4_source_mixing, op5_sharding, op7_benchmark_decontamination, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": r"""
+with recursive
+d as (select doc_id, source, text, len(regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+')) size from documents),
+s as (select source, sum(size)::bigint n, [5,2,1][((row_number() over (order by source nulls last)-1)%3+1)::int] w from d group by source),
+r(round, source, n, w, share, target, done) as (
+  select 0, source, n, w, 1.5::double*sum(n) over (), 0::double, false from s
+  union all
+  select round+1, source, n, w, case when any_full then share-coalesce(sum(case when now then 2.0::double*n end) over (),0) else 0 end,
+    case when done then target when now then 2.0::double*n when any_full then 0 else w*unit end, done or now or not any_full
+  from (select *, not done and w*unit>=2.0::double*n now, bool_or(not done and w*unit>=2.0::double*n) over () any_full
+        from (select *, share/sum(case when not done then w end) over () unit, bool_and(done) over () over_ from r) where not over_)),
+t as (select source, n source_size, target, case when n>0 then floor(target/n)::int else 0 end whole from r where round=(select max(round) from r)),
+k as (select doc_id, source, size, -ln((('0x'||md5('11|'||coalesce(doc_id::varchar,'null'))[1:12])::ubigint::double+0.5)/281474976710656.0::double)
+  / greatest(coalesce(pow(1-(length(text)-length(regexp_replace(text,'[#*$%&|<>!]','','g')))::double/greatest(length(text),1),2.0),0.01),0.01) key from d),
+o as (select k.*, sum(size) over (partition by source order by key, doc_id) upto from k)
+select doc_id, size, source_size, target, (least(whole + case when target-whole*source_size>0 and upto-size/2.0<=target-whole*source_size then 1 else 0 end, 2)*size)::bigint taken
+from o join t on o.source is not distinct from t.source
+""",
     "op7_benchmark_decontamination": r"""
 with
 d as (select doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
