@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, lm_score, near_dup, robust_outliers, secrets, source_mix, wu_manber
+from . import external_shuffle, lm_score, near_dup, quality_rank, robust_outliers, secrets, source_mix, toxicity, wu_manber
 from .common import crc_share
 
 
@@ -20,6 +20,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(docs, crc_share(docs["doc_id"], 10, 0))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~crc_share(F.col("doc"), 4, 2))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", crc_share(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = source_mix.plan(_table(spark, sf_dir, "documents"))
     return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "size", "source_size", "target", "taken")
@@ -33,6 +40,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit(external_shuffle.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality_rank.fit(docs, labels, ~crc_share(F.col("doc"), 3, 1))
+    found = quality_rank.score(docs, model)
+    return found.select("doc_id", crc_share(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = wu_manber.scan(docs, _table(spark, sf_dir, "benchmark"), prefix="")
@@ -54,7 +68,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op4_source_mixing, op5_sharding, op7_benchmark_decontamination, op8_secret_scan, op9_quality_rules, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_source_mixing, op5_sharding, op6_quality_classifier, op7_benchmark_decontamination, op8_secret_scan, op9_quality_rules, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": r"""
 with recursive
