@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import external_shuffle, lm_score, near_dup, quality_rank, robust_outliers, secrets, source_mix, toxicity, wu_manber
+from . import external_shuffle, html_layout, lm_score, near_dup, quality_rank, robust_outliers, secrets, source_mix, toxicity, wu_manber
 from .common import crc_share
 
 
@@ -20,6 +20,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(docs, crc_share(docs["doc_id"], 10, 0))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, ~crc_share(F.col("doc"), 4, 2))
@@ -68,7 +72,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op3_toxicity, op4_source_mixing, op5_sharding, op6_quality_classifier, op7_benchmark_decontamination, op8_secret_scan, op9_quality_rules, op10_minhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_html_extraction, op3_toxicity, op4_source_mixing, op5_sharding, op6_quality_classifier, op7_benchmark_decontamination, op8_secret_scan, op9_quality_rules, op10_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": r"""
 with recursive
