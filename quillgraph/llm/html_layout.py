@@ -277,7 +277,8 @@ def render(html: str) -> str:
         frames[-1][1] += 1
         child = node.children[i]
         if isinstance(child, str):
-            layout.inline(child, pre)
+            if node.tag != "details" or node.get("open") is not None:
+                layout.inline(child, pre)
             continue
         tag = child.tag
         if tag == "br":
