@@ -34,6 +34,7 @@ from . import ctw
 from .common import of_hash, pack, text_bytes, unpack
 
 END = b"\n"
+UNKNOWN = -1.0  # log10(0 + 0.1)
 SLICE = 2 << 20
 _BLOCKS = "block string, part int, kind string, payload binary"
 
@@ -111,8 +112,9 @@ class _Block:
             tokens = text.lower().split()
             coded.append(b" ".join([*tokens, END]))
             if out:
-                for w in {*tokens, END} - self.words.keys():
-                    self.words[w] = 0
+                for w in {*tokens, END}:
+                    if w not in self.words:
+                        self.words[w] = 0
             else:
                 self.words.update(tokens)
                 self.words[END] += 1
@@ -246,10 +248,10 @@ def _score_block(depth: int, total: int, distinct: int, schema: pa.Schema):
         for kind, payload in zip(right["kind"].to_pylist(), right["payload"].to_pylist(), strict=True):
             told[kind].append(unpack(payload))
         look_up = Lookup(np.concatenate([_keys(t) for t in told["grams"]]), np.concatenate([t["score"].to_numpy() for t in told["grams"]]))
-        log_count, known = {}, {}
+        log_count = {}
         for t in told.pop("words"):
             for w, n in zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True):
-                log_count[w], known[w] = math.log10(n + 0.1), n > 0
+                log_count[w] = math.log10(n + 0.1) if n else UNKNOWN
         docs = unpack(left["payload"][0].as_py())
         scores, sizes, n_tokens, n_known, base = [], [], [], [], []
         coded = docs["coded"].to_pylist()
@@ -258,10 +260,10 @@ def _score_block(depth: int, total: int, distinct: int, schema: pa.Schema):
             scores.append(np.add.reduceat(look_up(keys).astype(float), np.cumsum(size) - size))
             sizes.append(size)
             for x in some:
-                tokens = [*x.split(), END]
-                n_tokens.append(len(tokens))
-                n_known.append(sum(map(known.__getitem__, tokens)))
-                base.append(math.fsum(map(log_count.__getitem__, tokens)) - len(tokens) * spread)
+                logs = list(map(log_count.__getitem__, [*x.split(), END]))
+                n_tokens.append(len(logs))
+                n_known.append(len(logs) - logs.count(UNKNOWN))
+                base.append(sum(logs) - len(logs) * spread)
         score, n_bytes = np.concatenate(scores), np.concatenate(sizes)
         return pa.Table.from_arrays(
             [docs["id"], docs["held"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([total] * len(coded), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(n_bytes), pa.array(-score / np.log10(2) / n_bytes)],
@@ -271,7 +273,7 @@ def _score_block(depth: int, total: int, distinct: int, schema: pa.Schema):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, root: int = 2, block_bytes: int = 24 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, root: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
     """Learn from the rows that held_out does not mark, and score all of them.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): base_score is the smoothed
