@@ -7,8 +7,10 @@
 3. In each bucket of each band, all classes are compared with one of them, its centre (chosen by hash): a star, not all
    pairs. Pairs whose sizes or sketches rule the threshold out go; the others are confirmed on full sets.
 4. Components of the confirmed links. What is left are pairs in one bucket and in different components; these are compared
-   through their sketches in tiles of at most `tile` classes, and the survivors confirmed like the others. So every
-   pair that shares a bucket is either already connected or was looked at: buckets have no cap.
+   through their sketches in tiles of about `tile` classes. In buckets of over `small` classes the rows bring their full sets
+   along, so survivors are confirmed in place and only links that connect something are given out; in smaller ones the
+   surviving pairs are confirmed like the star's. So every pair that shares a bucket is either already connected or was
+   looked at: buckets have no cap.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s**rows)**bands (30 bands of 4 rows: 1 - 1.3e-7 at 0.8).
 The sketch threshold lies `slack` below the wanted similarity, over five standard errors.
@@ -101,35 +103,56 @@ def _sets(k: int):
     return run
 
 
-def _tiles(threshold: float, most_odd: float, tile: int):
-    """Pairs of different components in two tiles of one bucket (or in one tile) that sizes and sketches don't rule out."""
+def _exact_links(candidates, sets: list[np.ndarray], label: np.ndarray, threshold_pct: int) -> list[tuple[int, int]]:
+    """Links among candidate pairs (row, rows) confirmed on full sets; pairs already connected in this tile are left out, so there
+    are fewer links than rows."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, coded = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    present = np.zeros(len(values), bool)
+    links = []
+    for i, others in candidates:
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        own = coded[ends[i] - sizes[i] : ends[i]]
+        present[own] = True
+        n = sizes[others]
+        at = np.arange(n.sum()) + np.repeat(ends[others] - np.cumsum(n), n)
+        shared = np.add.reduceat(present[coded[at]].astype(np.int64), np.cumsum(n) - n)
+        present[own] = False
+        for j in others[shared * 100 >= (sizes[i] + n - shared) * threshold_pct]:
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _tiles(threshold_pct: int, most_odd: float):
+    """Of two tiles of one bucket (or of one tile with itself): the pairs of different components that sizes and sketches don't rule
+    out; where the rows bring their full sets, only confirmed links, as many as connect the tile (sure)."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table["side"].to_numpy()
-        n = table["n"].to_numpy()
+        side, n = table["side"].to_numpy(), table["n"].to_numpy()
         label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
-        digest = np.array(table["digest"].to_pylist(), object)
+        digest = table["digest"].to_pylist()
         odd = np.array(table["odd"].to_pylist(), np.int64).view(np.uint64)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b = [], []
         alone = not len(right)
-        for at in range(0, len(left), 256):
-            some, others = left[at : at + 256], left if alone else right
-            apart = label[some][:, None] != label[others][None]
-            near = np.minimum(n[some][:, None], n[others][None]) >= threshold * np.maximum(n[some][:, None], n[others][None]) - 1e-9
-            i, j = np.nonzero(apart & near)
-            i, j = some[i], others[j]
-            count = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1)
-            ok = count <= most_odd
-            a.append(i[ok])
-            b.append(j[ok])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        once = digest[i] < digest[j] if len(i) else np.zeros(0, bool)
-        if not alone and len(i):
-            low, high = np.where(once, digest[i], digest[j]), np.where(once, digest[j], digest[i])
+
+        def candidates():
+            for k, i in enumerate(left):
+                others = left[k + 1 :] if alone else right
+                others = others[(label[others] != label[i]) & (np.minimum(n[i], n[others]) * 100 >= threshold_pct * np.maximum(n[i], n[others]))]
+                yield i, others[np.bitwise_count(odd[others] ^ odd[i]).sum(axis=1) <= most_odd]
+
+        exact = table["shingles"].null_count == 0
+        if exact:
+            pairs = _exact_links(candidates(), [np.asarray(x.values) for x in table["shingles"].combine_chunks()], label, threshold_pct)
         else:
-            low, high = digest[i[once]], digest[j[once]]
-        return pa.table({"a": pa.array(list(low), pa.binary()), "b": pa.array(list(high), pa.binary())})
+            pairs = [(i, j) for i, others in candidates() for j in others]
+        a, b = [min(digest[i], digest[j]) for i, j in pairs], [max(digest[i], digest[j]) for i, j in pairs]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "sure": pa.array([exact] * len(a), pa.bool_())})
 
     return run
 
@@ -142,19 +165,21 @@ def _ruled_in(pairs: DataFrame, classes: DataFrame, threshold_pct: int, most_odd
     return both.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold_pct) & (apart <= most_odd)).select("a", "b", "na", "nb")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, rows: DataFrame, k: int, threshold_pct: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets have the similarity."""
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+def _full_sets(wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(digest, shingles) of the wanted classes, from one text of each."""
     wanted = classes.join(wanted, "digest", "left_semi").select("digest", F.col("one.id").alias("wid"), F.col("one.text_key").alias("wkey"))
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["wid"]) & (rows["text_key"] == wanted["wkey"])).select("digest", "text")
-    sets = texts.mapInArrow(_sets(k), "digest binary, shingles array<long>")
-    sets = stored(sets, "shingle-sets").dropDuplicates(["digest"])
+    return stored(texts.mapInArrow(_sets(k), "digest binary, shingles array<long>"), "shingle-sets").dropDuplicates(["digest"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose full sets have the similarity."""
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * threshold_pct).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, bands: int = 30, rows_per_band: int = 4, slack: float = 0.2, tile: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, bands: int = 30, rows_per_band: int = 4, slack: float = 0.2, tile: int = 1024, small: int = 16) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept, class_id, component_key, text_key).
 
     Documents are linked when 100 * |intersection| >= threshold_pct * |union| of their sets of distinct `shingle`-word shingles.
@@ -176,20 +201,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = stored(bucket.join(centre, ["band", "hash"]), "buckets")
     star = shared.where("digest <> centre").select(F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b")).distinct()
     star = stored(_ruled_in(star, classes, threshold_pct, most_odd), "star")
-    links = stored(_confirm(star, classes, rows, shingle, threshold_pct), "links")
+    sets = _full_sets(shared.select("digest").distinct(), classes, rows, shingle)
+    links = stored(_confirm(star, sets, threshold_pct), "links")
 
     labels = connected_components(links, "a", "b")
     split = _bucket_components(shared, labels)
     spread = split.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
     rest = split.join(spread.select("band", "hash", "size"), ["band", "hash"]).join(classes.select("digest", "n", "odd"), "digest")
+    own_sets = sets.select("digest", "shingles").join(rest.where(F.col("size") > small).select("digest").distinct(), "digest", "left_semi")
+    rest = rest.join(own_sets.withColumnRenamed("digest", "__d"), (F.col("digest") == F.col("__d")) & (F.col("size") > small), "left").drop("__d")
     rest = rest.withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("band", "hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "label", "n", "odd")
-    pairs = rest.groupBy("band", "hash", "low", "high").applyInArrow(_tiles(threshold_pct / 100, most_odd, tile), "a binary, b binary").distinct()
-    pairs = pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = stored(_ruled_in(pairs, classes, threshold_pct, most_odd), "rest")
+    rest = rest.select("band", "hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "label", "n", "odd", "shingles")
+    pairs = rest.groupBy("band", "hash", "low", "high").applyInArrow(_tiles(threshold_pct, most_odd), "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    pairs = stored(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not pairs.isEmpty():
-        links = stored(links.unionByName(_confirm(pairs, classes, rows, shingle, threshold_pct)), "links")
+        unsure = _ruled_in(pairs.where("not sure").select("a", "b"), classes, threshold_pct, most_odd)
+        links = stored(links.unionByName(pairs.where("sure").select("a", "b")).unionByName(_confirm(unsure, sets, threshold_pct)), "links")
         labels = connected_components(links, "a", "b")
 
     named = _label(classes.select("digest", "class_id"), labels)
