@@ -125,6 +125,12 @@ def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def _sent(model: DataFrame, most: int = 20_000) -> DataFrame:
+    """The model, to be sent to all tasks if it has at most `most` rows (a few hundred bytes each), so that no row of a hot group moves; a
+    larger one is joined by key, where no group can hold many of the rows' keys but the widest two, which adaptive joins split."""
+    return F.broadcast(model) if model.count() <= most else model
+
+
 def _cholesky(covariance: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
     """Columns l_i_j of the factor, to be added one after another."""
     out = []
@@ -163,7 +169,7 @@ def fit(stats: DataFrame, *, share: float = 0.75, steps: int = 4, least_rows: in
     grow = share / chi2_cdf(chi2_quantile(share, P), P + 2)  # the consistency factor of the nearest share's covariance
     base = [c for c in model.columns if c == "n" or c[:2] in ("m_", "s_")]
     for _ in range(steps):
-        named = rows.withColumnRenamed("key", "row_key").join(model, F.col("row_key") == F.col("key"))
+        named = rows.withColumnRenamed("key", "row_key").join(_sent(model), F.col("row_key") == F.col("key"))
         binned = named.select("key", *base, F.floor(F.log1p(distance2([F.col(s) for s in STATS])) * _DISTANCE_BIN).cast("int").alias("bin"), *[((F.col(s) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, s in enumerate(STATS)])
         sums = [F.count("*").alias("c"), *[F.sum(f"z_{i}").alias(f"a_{i}") for i in range(P)], *[F.sum(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"b_{i}_{j}") for i, j in cells]]
         cut = binned.groupBy("key", "bin").agg(*[F.first(c).alias(c) for c in base], *sums)
@@ -182,7 +188,7 @@ def fit(stats: DataFrame, *, share: float = 0.75, steps: int = 4, least_rows: in
 
 def judge(stats: DataFrame, model: DataFrame, *, level: float = 1e-6) -> DataFrame:
     """stats with distance2 (null without an estimate) and kept: false if base_failed or farther than the chi-square quantile."""
-    keys = _keys(F.col("lang"), F.col("source"))
+    keys, model = _keys(F.col("lang"), F.col("source")), _sent(model)
     has = model.select("key", F.lit(True).alias("has"))
     out = stats
     for level_no, key in enumerate(keys[:2]):  # which estimate a row takes
@@ -203,7 +209,11 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
-    """The documents that are not rejected; columns stay as they are."""
+    """The documents that are not rejected; columns stay as they are.
+
+    Documents are written once with their statistics beside them: a condition on computed statistics would otherwise be pushed below
+    their computation and repeat it for each of its many references.
+    """
     rows = statistics(docs.select(F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")))
-    model = fit(stored(rows.select("lang", "source", "quality.*"), "doc-stats"), **how)
-    return judge(rows.select("doc", "lang", "source", "quality.*"), model).where("kept").select("doc.*")
+    rows = stored(rows.select("doc", "lang", "source", "quality.*"), "doc-stats")
+    return judge(rows, fit(rows.drop("doc"), **how)).where("kept").select("doc.*")
