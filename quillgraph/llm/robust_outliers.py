@@ -7,7 +7,9 @@ share of rows, their mean and covariance, and again. Documents too far from the
 
 Groups with fewer than `least_rows` usable rows take their language's estimate, small languages that of all rows; with
 fewer rows still nothing is rejected. A floor on each statistic's scale keeps statistics that are zero in nearly all
-documents from making every other document an outlier.
+documents from making every other document an outlier. Floors bound what a statistic adds to a squared distance, by (range / floor)²: any
+statistic can pass the cut (38.26 at the default level) by itself but q_repeat, which the base rule bounds. Repeats by themselves are
+judged by the base rule (30 % of the words); under it they add at most 4.8.
 
 All of it is aggregation and equi-joins of built-in functions. A concentration step is one pass: counts and moments by (group,
 distance bin), combined before the shuffle, so a group with a third of all rows costs no task more than the others; the nearest
@@ -27,7 +29,7 @@ from quillgraph.plans.scratch import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Statistic -> the least scale its distances are measured in.
-FLOORS = {"q_length": 0.08, "q_symbols": 0.04, "q_lines": 0.25, "q_repeat": 0.25, "q_capitals": 0.04, "q_stutter": 0.12}
+FLOORS = {"q_length": 0.08, "q_symbols": 0.04, "q_lines": 0.14, "q_repeat": 0.25, "q_capitals": 0.04, "q_stutter": 0.12}
 STATS = list(FLOORS)
 P = len(STATS)
 _BIN, _DISTANCE_BIN = 0.01, 50.0

@@ -51,6 +51,28 @@ def test_planted_outliers_go_and_clean_ones_stay(spark):
     assert got == {r.doc_id: not r.bad for r in sample(spark).collect()}
 
 
+def test_one_outlier_of_each_statistic_goes(spark):
+    rng = np.random.default_rng(5)
+    word = lambda low=2, high=9: "".join(rng.choice(list("abcdefgh"), rng.integers(low, high)))
+    clean = [" ".join(word() for _ in range(rng.integers(40, 120))).capitalize() + "." for _ in range(300)]
+    words = [word() for _ in range(80)]
+    menu = [word(3, 7) for _ in range(12)]
+    lines = [menu[i] for _ in range(7) for i in rng.permutation(12)]
+    planted = {
+        "q_length": " ".join(word(18, 30) for _ in range(80)).capitalize(),
+        "q_symbols": " ".join(w + "|" for w in words),
+        "q_lines": "\n".join(x for x, last in zip(lines, [None, *lines]) if x != last).capitalize(),
+        "q_capitals": " ".join(words).upper(),
+        "q_stutter": " ".join(w for w in words[:40] for _ in range(3)).capitalize(),
+        "q_repeat": " ".join([*words, *words[:25]]).capitalize(),
+    }
+    rows = [(str(i), t, "en", "s") for i, t in enumerate(clean)] + [(s, t, "en", "s") for s, t in planted.items()]
+    got = {r.doc_id: r for r in R.assess(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    assert sorted(planted) == sorted(R.STATS) and all(got[str(i)].kept for i in range(300))
+    for s in planted:  # repeats by themselves are the base rule's
+        assert not got[s].kept and got[s].base_failed == (s == "q_repeat"), (s, got[s])
+
+
 def test_distance_and_steps_against_numpy(spark):
     docs = sample(spark, 400, 1).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
     stats = R.assess(docs, steps=6, least_rows=30).toPandas()
