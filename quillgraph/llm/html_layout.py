@@ -5,7 +5,8 @@ td, th, option and the like close where their successors open; stray end tags ar
 The tree is rendered with visibility rules (script, style, head, template and other elements that show nothing; `hidden`,
 display:none, visibility:hidden, closed details and dialogs) into all visible text: blocks on their own lines with blank lines around
 paragraphs and headings, list items with bullets or numbers and indents, table cells in aligned columns, preformatted
-text as it stands, other white space collapsed.
+text as it stands, other white space collapsed. Formulas give their signs in order, drawings their text labels, a closed select the option it
+shows, buttons and text fields their values.
 
 Null html gives null, empty html the empty text. Broken or cut-off markup never fails; nesting of any depth is rendered without recursion
 (blocks nested deeper than `DEEPEST` are shown in the block at that depth). Repeated rows are rendered each.
@@ -27,7 +28,14 @@ DEEPEST = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript plaintext".split())
 RAW_TEXT = frozenset("textarea title".split())
-UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas svg math datalist param source track area base link meta rp map select".split())
+UNSEEN = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist param source track area base link meta rp".split())
+#: Shown nowhere inside svg or math.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Parts of a formula that stand apart from what is before them: cells, and what these hold (numerators, exponents, limits).
+APART = frozenset("mtr mtd".split())
+HOLDS_APART = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot".split())
+#: Input types whose value is no text on the page.
+WORDLESS = frozenset("hidden password checkbox radio file color range image".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr td th listing xmp".split()
@@ -139,6 +147,10 @@ def build(html: str) -> Node:
             stack.append(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        if (tag in UNDRAWN or tag not in BLOCK and attributes.rstrip().endswith("/")) and any(n.tag in ("svg", "math") for n in stack):
+            if attributes.rstrip().endswith("/"):
+                continue
+            node.attributes += " hidden"
         if tag in RAW or tag in RAW_TEXT:
             if lower is None:
                 lower = html.lower() if len(html.lower()) == size else re.sub("[A-Z]", lambda x: x[0].lower(), html)
@@ -154,7 +166,7 @@ def build(html: str) -> Node:
 
 def visible(node: Node, parent: Node | None) -> bool:
     tag, attributes = node.tag, node.attributes
-    if tag in UNSEEN or tag == "input":
+    if tag in UNSEEN:
         return False
     if parent is not None and parent.tag == "details" and tag != "summary" and parent.get("open") is None:
         return False
@@ -169,6 +181,24 @@ def visible(node: Node, parent: Node | None) -> bool:
     return True
 
 
+def shown_option(select: Node) -> Node | None:
+    """The option that a closed select shows: the last selected one, else the first that is not disabled."""
+    first = chosen = None
+    rest = [(x, False) for x in reversed(select.children)]
+    while rest:
+        x, off = rest.pop()
+        if isinstance(x, str):
+            continue
+        off = off or x.get("disabled") is not None
+        if x.tag != "option":
+            rest.extend((y, off) for y in reversed(x.children))
+        elif x.get("selected") is not None:
+            chosen = x
+        elif first is None and not off:
+            first = x
+    return first if chosen is None else chosen
+
+
 class Layout:
     """Lines of one block context. Inline text gathers in `line`; blocks end lines and ask for blank lines around them."""
 
@@ -267,6 +297,7 @@ def render(html: str) -> str:
     frames: list[list] = [[build(html), 0, top, False, None]]
     tables: list[_Table] = []
     numbers: list[int | None] = []
+    drawings: list[Node] = []
     while frames:
         node, i, layout, pre, ending = frames[-1]
         if i >= len(node.children):
@@ -277,6 +308,8 @@ def render(html: str) -> str:
         frames[-1][1] += 1
         child = node.children[i]
         if isinstance(child, str):
+            if drawings and next(f[0].tag for f in reversed(frames) if f[0].tag in ("svg", "text", "foreignobject")) == "svg":
+                continue  # only labels are drawn
             if node.tag != "details" or node.get("open") is not None:
                 layout.inline(child, pre)
             continue
@@ -286,6 +319,23 @@ def render(html: str) -> str:
         elif tag == "wbr" or not visible(child, node):
             if tag == "hr":
                 layout.block([], True)
+        elif tag == "svg":
+            drawings.append(child)
+            frames.append([child, 0, layout, pre, drawings.pop])
+        elif tag == "text" and drawings or tag in APART or node.tag in HOLDS_APART:
+            layout.inline(" ", False)
+            frames.append([child, 0, layout, pre, lambda x=layout: x.inline(" ", False)])
+        elif tag == "input":
+            if (child.get("type") or "").strip().lower() not in WORDLESS:
+                layout.inline(f" {child.get('value') or ''} ", False)
+        elif tag == "select" and child.get("multiple") is None and _int(child.get("size"), 1) <= 1:
+            option = shown_option(child)
+            if option is not None:
+                layout.inline(" ", False)
+                if option.get("label"):
+                    layout.inline(f" {option.get('label')} ", False)
+                else:
+                    frames.append([option, 0, layout, pre, lambda x=layout: x.inline(" ", False)])
         elif tag not in BLOCK or len(frames) > DEEPEST:
             if tag in BLOCK:
                 layout.end()

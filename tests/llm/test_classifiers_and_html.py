@@ -110,6 +110,25 @@ def test_layout(html, text):
         assert got.strip() == text.strip()
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "so x=2"),
+        ("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation encoding=tex>frac</annotation></semantics></math>.", "1 2 ."),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><rect/><g>no<text x=1>North</text><text>South</text></g></svg>b", "a North South b"),
+        ("<svg><style/><text>k<tspan>m</tspan></text></svg><desc>n</desc>", "km n"),
+        ("<map name=m><p>plan <a href=x>door</a><area></map>", "plan door"),
+        ("in <select><option>red<option selected>green<option>blue</select>now", "in green now"),
+        ("<select><option disabled>pick<optgroup label=g><option>one</optgroup><option>two</select>", "one"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<select><option label=L>x</select><select></select>", "L"),
+        ("go<input type=submit value=Send><input type=hidden value=h><input value='typed &amp; kept'><input type=checkbox value=c><input hidden value=z>", "go Send typed & kept"),
+    ],
+)
+def test_formulas_drawings_and_controls(html, text):
+    assert render(html).strip() == text
+
+
 class Words(HTMLParser):
     """Visible words in order, by another parser, for pages of the kinds in the tables."""
 
