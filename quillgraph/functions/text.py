@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns below (signature, quotes, bracketed ids, fences, tokens) are fixed values: they define what the operators find.
 _EDGE = r"^[\s]+|[\s]+$"
 
 
@@ -33,11 +34,6 @@ def thread_root(references: Column, in_reply_to: Column, own: Column) -> Column:
     return F.coalesce(F.get(references, F.lit(0)), F.nullif(in_reply_to, F.lit("")), own)
 
 
-def message_id(header: Column, raw: Column) -> Column:
-    """The trimmed header, or a placeholder by the message's hash."""
-    return F.coalesce(F.nullif(F.trim(header), F.lit("")), F.concat(F.lit("<unknown-"), F.substring(F.md5(raw), 1, 8), F.lit(">")))
-
-
 def combined(subject: Column, body: Column) -> Column:
     """The text that offsets refer to."""
     return F.concat(F.lit("Subject: "), subject, F.lit("\n\nBody:\n"), body)

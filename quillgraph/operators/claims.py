@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import ids
+from quillgraph.functions.text import dot
+from quillgraph.plans.scratch import stored
 
 # What makes a text a reversal, and which types have one answer.
 REVERSAL = ("reversed", "reverted", "withdrawn", "superseded", "overturned", "changed", "amended", "updated decision", "no longer", "instead")
 EXCLUSIVE = ("ASSIGNED", "DECIDED", "REVERSED")
-EVIDENCE = ("source_id", "message_id", "excerpt", "char_start", "ts")
+#: What evidence takes from its claim's row, where the row has it.
+SPAN = ("source_id", "message_id", "excerpt", "char_start", "char_end", "extraction_version")
 
 
 def is_reversal(text: Column) -> Column:
@@ -28,11 +32,11 @@ def merge(claims: DataFrame) -> DataFrame:
 
 
 def evidence(claims: DataFrame, merged: DataFrame) -> DataFrame:
-    """Evidence rows of merged claims, insert-or-ignore by (claim, source, start): the first by ord stays."""
+    """Evidence rows of merged claims with their spans, insert-or-ignore by (claim, source, start): the first by ord stays."""
     rows = claims.join(merged.select("type", "subject_id", "object_id", F.col("id").alias("claim_id")), ["type", "subject_id", "object_id"])
-    rows = rows.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start")))
-    cols = ["claim_id", "source_id", "message_id", "excerpt", "char_start", "valid_from"]
-    return rows.groupBy("id").agg(F.min(F.struct("ord", *cols)).alias("x")).select("id", *[F.col(f"x.{c}") for c in cols[:-1]], F.col("x.valid_from").alias("ts"))
+    rows = rows.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start"))).withColumnRenamed("valid_from", "ts")
+    cols = ["claim_id", *[c for c in SPAN if c in claims.columns], "ts"]
+    return rows.groupBy("id").agg(F.min(F.struct("ord", *cols)).alias("x")).select("id", "x.*")
 
 
 def conflicts(merged: DataFrame) -> DataFrame:
@@ -55,26 +59,26 @@ def supersede(merged: DataFrame, found: DataFrame, *, chain: bool = False) -> Da
     return merged.join(last, "id", "left")
 
 
-def deduplicate(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims, conflicts) in one call."""
-    merged = merge(claims)
+def deduplicate(claims: DataFrame, *, threshold: float = 0.92) -> tuple[DataFrame, DataFrame]:
+    """(claims, conflicts) in one call. Where claims have a column `vector`, claims of alike texts are merged as well."""
+    merged = merge(aligned(claims, threshold=threshold) if "vector" in claims.columns else claims)
     found = conflicts(merged)
     return supersede(merged, found), found
 
 
-def semantic_groups(claims: DataFrame, *, threshold: float = 0.92) -> DataFrame:
-    """(ord, leader_ord): the sequential rule with vectors: a claim joins the first earlier group of its (type, subject) that has its object, or whose
-    first claim has a cosine of at least `threshold`. claims has ord, type, subject_id, object_id, text, vector (unit length or null).
+def aligned(claims: DataFrame, *, threshold: float = 0.92) -> DataFrame:
+    """claims with object_id replaced by that of their group's first claim (see semantic_groups). A group is then what agrees in (type, subject,
+    object), since no two groups of a subject begin with the same object; merge() and evidence() take it from there."""
+    groups = semantic_groups(claims, threshold=threshold)
+    lead = groups.join(claims.select(F.col("ord").alias("leader_ord"), F.col("object_id").alias("lead_object")), "leader_ord").select("ord", "lead_object")
+    return claims.join(lead, "ord").withColumn("object_id", F.col("lead_object")).select(claims.columns)
 
-    The rule is sequential within (type, subject), which bounds what one task holds; without vectors use merge(), which has no such bound.
-    """
 
+def _decide(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows = rows.sort_values("ord")
         objects: list = []
-        orders: list[int] = []
+        orders: list = []
         leads = np.zeros((0, 0))
         out = []
         for o, obj, text, vec in zip(rows["ord"], rows["object_id"], rows["text"], rows["vector"], strict=True):
@@ -95,13 +99,36 @@ def semantic_groups(claims: DataFrame, *, threshold: float = 0.92) -> DataFrame:
             out.append((o, orders[at]))
         return pd.DataFrame(out, columns=["ord", "leader_ord"])
 
-    return claims.select("ord", "type", "subject_id", "object_id", "text", "vector").groupBy("type", "subject_id").applyInPandas(run, "ord long, leader_ord long")
+    return run
 
 
-def semantic_pairs(vectors: DataFrame, *, key: str, id_col: str, vector_col: str, threshold: float) -> DataFrame:
-    """(a, b) within a key whose cosine reaches the threshold, by an equi-join on the key."""
-    from quillgraph.functions.text import dot
+def semantic_groups(claims: DataFrame, *, threshold: float = 0.92, head: int = 2048) -> DataFrame:
+    """(ord, leader_ord): the sequential rule with vectors: a claim joins the first earlier group of its (type, subject) that has its object, or whose
+    first claim has a cosine of at least `threshold`. claims has ord (unique), type, subject_id, object_id, text, vector (unit length or null).
 
+    The first `head` undecided claims of each (type, subject) are decided in sequence by one task; the later ones are compared with the
+    groups that begin there by a join, which adaptive execution can split; what finds none goes on. So a subject with a third of all claims takes more rounds,
+    not a larger task, and the result is the sequential one.
+    """
+    key = ["type", "subject_id"]
+    left = stored(claims.select("ord", *key, "object_id", "text", "vector"), "semantic")
+    order = claims.schema["ord"].dataType.simpleString()
+    done = None
+    while not left.isEmpty():
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("ord"))
+        first = stored(left.withColumn("place", place).where(F.col("place") <= head).drop("place"), "semantic-head")
+        found = stored(first.groupBy(*key).applyInPandas(_decide(threshold), f"ord {order}, leader_ord {order}"), "semantic-groups")
+        rest = left.join(first.select("ord"), "ord", "left_anti")
+        leads = first.join(found.where("ord = leader_ord").select("ord"), "ord", "left_semi").select(*key, F.col("ord").alias("leader_ord"), F.col("object_id").alias("lo"), F.when(F.col("text") != "", F.col("vector")).alias("lv"))
+        alike = F.col("object_id").eqNullSafe(F.col("lo")) | ((F.col("text") != "") & (dot(F.col("vector"), F.col("lv")) >= threshold))
+        joined = stored(rest.join(leads, key).where(alike).groupBy("ord").agg(F.min("leader_ord").alias("leader_ord")), "semantic-joined")
+        done = found.unionByName(joined) if done is None else done.unionByName(found).unionByName(joined)
+        left = stored(rest.join(joined.select("ord"), "ord", "left_anti"), "semantic")
+    return done if done is not None else claims.select("ord", F.col("ord").alias("leader_ord"))
+
+
+def semantic_pairs(vectors: DataFrame, *, key: str, id_col: str, vector_col: str, threshold: float) -> DataFrame:
+    """(a, b) within a key whose cosine reaches the threshold, by an equi-join on the key: candidates for a judge."""
     a, b = (vectors.select(F.col(key).alias("k"), F.col(id_col).alias(x), F.col(vector_col).alias(f"v{x}")) for x in "ab")
     return a.join(b, "k").where("a < b").withColumn("cosine", dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("k", "a", "b", "cosine")
 

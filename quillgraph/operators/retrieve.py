@@ -1,19 +1,23 @@
 """Hybrid retrieval: BM25, cosine, support and currency, with a cap per source, and context packs with citations.
 
-Questions come as a table (question_id, question), so a batch is answered by one plan: postings join the questions' tokens, scores
-are aggregates, ranks are windows. Tokens that most documents share are no problem for the join: their postings are one side's rows, spread
-over documents, and the other side has a row for each question.
+The index is built once and can be kept in a folder: documents with their lengths, postings by token bucket, and statistics. Questions come
+as a table (question_id, question), so a batch is answered by one plan: only the buckets of the questions' tokens are read, postings join these tokens,
+scores are aggregates, ranks are windows. Tokens that most documents share are no problem for the join: their postings are one side's rows, spread over
+documents, and the other side has a row for each question.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import dot, tokenize
-from quillgraph.plans.scratch import stored
+from quillgraph.plans.scratch import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+BUCKETS = 32
 
 
 def documents(claims: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -22,26 +26,66 @@ def documents(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.where("text <> ''").join(ev, "id").withColumn("doc_id", F.concat_ws("/", "id", "evidence_id"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, token, tf) of the text and the excerpt."""
-    tokens = docs.select("doc_id", F.explode(tokenize(F.concat_ws(" ", "text", F.coalesce("excerpt", F.lit(""))))).alias("token"))
-    return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+@dataclass
+class Index:
+    """documents, each once; (bucket, token, doc_id, tf, dl); (token, idf); one row (n, avgdl, most), most the greatest support."""
+
+    docs: DataFrame
+    postings: DataFrame
+    idf: DataFrame
+    facts: DataFrame
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def _frequencies(tokens: Column) -> Column:
+    """(token, tf, dl) of each distinct token: runs of the sorted tokens, within the row."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"), F.size(s).cast("long").alias("dl")))
+    found = F.transform(F.array(F.sort_array(tokens)), lambda s: F.transform(F.array(starts(s)), lambda at: runs(s, at))[0])[0]
+    return F.when(F.size(tokens) > 0, found)
+
+
+def build_index(docs: DataFrame, path: str | None = None) -> Index:
+    """Write the index to a folder (a scratch one by default). A document's counts are made within its row; the only shuffle deals the postings
+    to their buckets."""
+    spark = docs.sparkSession
+    path = path or scratch(spark, "retrieval-index")
+    docs.write.parquet(f"{path}/docs")
+    docs = spark.read.schema(docs.schema).parquet(f"{path}/docs")
+    tokens = tokenize(F.concat_ws(" ", "text", F.coalesce("excerpt", F.lit(""))))
+    each = docs.select("doc_id", tokens.alias("t")).select("doc_id", F.explode(_frequencies(F.col("t"))).alias("x")).select("doc_id", "x.*")
+    salts = 1 + docs.count() // 2_000_000  # a bucket's postings are dealt over more tasks, and files, as the index grows
+    each = each.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    each.write.partitionBy("bucket").parquet(f"{path}/postings")
+    posts = spark.read.schema("doc_id string, token string, tf long, dl long, bucket int").parquet(f"{path}/postings")
+    total, df = posts.agg(F.sum("tf").alias("total")), posts.groupBy("token").agg(F.count("*").alias("df"))
+    facts = docs.agg(F.count("*").alias("n"), F.max("support_count").alias("most")).crossJoin(total).select("n", "most", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
+    facts.write.parquet(f"{path}/facts")
+    facts = spark.read.schema("n long, most long, avgdl double").parquet(f"{path}/facts")
+    raw = df.crossJoin(facts.select("n")).select("token", (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
+    raw.write.parquet(f"{path}/raw")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that build_index() wrote."""
+    raw = spark.read.schema("token string, raw double").parquet(f"{path}/raw")
+    idf = raw.crossJoin(raw.agg(F.avg("raw").alias("mean"))).select("token", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    posts = spark.read.schema("doc_id string, token string, tf long, dl long, bucket int").parquet(f"{path}/postings")
+    return Index(spark.read.parquet(f"{path}/docs"), posts, idf, spark.read.schema("n long, most long, avgdl double").parquet(f"{path}/facts"))
 
 
 def query_tokens(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(tokenize(F.col("question"))).alias("token")).groupBy("question_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, questions: DataFrame) -> DataFrame:
+def bm25(index: Index, questions: DataFrame) -> DataFrame:
     """(question_id, doc_id, bm25) for documents with a hit; statistics cover the whole index."""
-    posts = stored(postings(docs), "postings")
-    sizes = posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    facts = docs.agg(F.count("*").alias("n"))
-    mean = sizes.agg(F.sum("dl").alias("total")).crossJoin(facts).select((F.col("total") / F.col("n")).alias("avgdl"), "n")
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(facts).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    idf = raw.crossJoin(raw.agg(F.avg("raw").alias("mean"))).select("token", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    hits = posts.join(query_tokens(questions).join(idf, "token"), "token").join(sizes, "doc_id").crossJoin(mean)
+    asked = query_tokens(questions).join(index.idf, "token").withColumn("bucket", _bucket(F.col("token")))
+    hits = index.postings.join(asked, ["bucket", "token"]).crossJoin(index.facts.select("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("question_id", "doc_id").agg(F.sum(part).alias("bm25"))
 
@@ -53,25 +97,26 @@ def normalised(scores: DataFrame) -> DataFrame:
 
 
 def dense(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None) -> DataFrame | None:
-    """(question_id, doc_id, cosine) of unit vectors: docs' by claim id in `vectors` (id, vector), questions' in column `vector`."""
+    """(question_id, doc_id, cosine) of unit vectors: docs' by claim id in `vectors` (id, vector), questions' in column `vector`. The questions are a stated
+    query set against all rows; whether they are sent to all tasks is the planner's choice by their size."""
     if vectors is None or "vector" not in questions.columns:
         return None
     q = questions.select("question_id", F.col("vector").alias("qv"))
-    return docs.select("doc_id", "id").join(vectors, "id").crossJoin(F.broadcast(q)).select("question_id", "doc_id", dot(F.col("vector"), F.col("qv")).alias("cosine"))
+    return docs.select("doc_id", "id").join(vectors, "id").crossJoin(q).select("question_id", "doc_id", dot(F.col("vector"), F.col("qv")).alias("cosine"))
 
 
-def hybrid(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, *, least: float = 0.3, current_only: bool = True) -> DataFrame:
+def hybrid(index: Index, questions: DataFrame, vectors: DataFrame | None = None, *, least: float = 0.3, current_only: bool = True) -> DataFrame:
     """All documents that pass the filters, with their scores for each question (a stated query set against all rows): 0.5 bm25 + 0.3 cosine + 0.1 support share + 0.1
-    if current. The filters come after scoring, since normalisation covers all documents."""
-    most = docs.agg(F.max("support_count").alias("most"))
-    pairs = docs.crossJoin(F.broadcast(questions.select("question_id"))).crossJoin(most)
-    out = pairs.join(normalised(bm25(docs, questions)).select("question_id", "doc_id", "bm25_norm"), ["question_id", "doc_id"], "left")
+    if current. Normalisation covers the whole index; documents that the filters drop are left out before they meet the questions."""
+    docs = index.docs.where(F.col("confidence") >= least)
+    docs = docs.where(F.col("valid_to").isNull()) if current_only else docs
+    out = docs.crossJoin(questions.select("question_id")).crossJoin(index.facts.select("most"))
+    out = out.join(normalised(bm25(index, questions)).select("question_id", "doc_id", "bm25_norm"), ["question_id", "doc_id"], "left")
     near = dense(docs, questions, vectors)
     out = out.join(near, ["question_id", "doc_id"], "left") if near is not None else out.withColumn("cosine", F.lit(0.0))
     share = F.col("support_count") / F.when(F.col("most") > 0, F.col("most")).otherwise(1)
     score = 0.5 * F.coalesce("bm25_norm", F.lit(0.0)) + 0.3 * F.coalesce("cosine", F.lit(0.0)) + 0.1 * share + 0.1 * F.col("valid_to").isNull().cast("int")
-    out = out.withColumn("score", score).where(F.col("confidence") >= least)
-    return out.where(F.col("valid_to").isNull()) if current_only else out
+    return out.withColumn("score", score)
 
 
 def select_top(scored: DataFrame, *, k: int = 10, per_source: int = 3) -> DataFrame:
@@ -125,16 +170,22 @@ def context_packs(questions: DataFrame, top: DataFrame, entities: DataFrame, con
 
 
 def render(packs: DataFrame) -> DataFrame:
-    """(question_id, text): packs for reading: up to five entities, eight snippets, all ambiguities and citations."""
-    line = lambda head, arr, f: F.when(F.size(arr) > 0, F.concat(F.lit(head), F.array_join(F.transform(arr, f), "\n")))
+    """(question_id, text): packs for reading: up to eight snippets with their numbers of citations, all conflicts and citations, up to five entities."""
+
+    def part(title: str, arr: Column, f) -> Column:
+        return F.when(F.size(arr) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(F.transform(arr, f), "\n")))
+
+    day = lambda x: F.coalesce(F.date_format(x["ts"], "yyyy-MM-dd"), F.lit("undated"))
+    name = lambda c: F.concat(F.lit("[c"), c["number"].cast("string"), F.lit("]"))
+    cited = lambda s: F.coalesce(F.element_at(F.transform(F.filter("citations", lambda c: c["message_id"] == s["message_id"]), name), 1), F.lit(""))
     parts = [
-        F.concat(F.lit("Question: "), "question", F.lit("\n")),
-        line("## Relevant Entities\n", F.slice("entities", 1, 5), lambda e: F.concat(F.lit("  ["), e["type"], F.lit("] "), e["name"], F.lit(" (id="), e["id"], F.lit(")"))),
-        line("\n## Evidence Snippets (ranked)\n", F.slice("snippets", 1, 8), lambda s: F.concat(F.lit("  ["), s["rank"].cast("string"), F.lit("] ("), s["claim_type"], F.lit(") "), s["claim_text"], F.lit('\n       Excerpt: "'), F.substring(s["excerpt"], 1, 200), F.lit('"\n       Source: '), s["message_id"], F.lit(" @ "), s["ts"].cast("string"))),
-        line("\n## Ambiguities / Conflicts\n", F.col("ambiguities"), lambda a: F.concat(F.lit("  ! "), a["text"])),
-        line("\n## Citations\n", F.col("citations"), lambda c: F.concat(F.lit("  ["), c["number"].cast("string"), F.lit("] "), c["message_id"], F.lit(" | "), c["ts"].cast("string"), F.coalesce(F.concat(F.lit(" | "), c["subject"]), F.lit("")))),
+        F.concat(F.lit("QUESTION  "), "question"),
+        part("FINDINGS", F.slice("snippets", 1, 8), lambda s: F.concat(s["rank"].cast("string"), F.lit(". "), s["claim_text"], F.lit(" ("), F.lower(s["claim_type"]), F.lit(", score "), F.format_number(s["score"], 2), F.lit(") "), cited(s), F.lit("\n   > "), F.regexp_replace(F.substring(s["excerpt"], 1, 200), "\n", "\n   > "))),
+        part("OPEN QUESTIONS", F.col("ambiguities"), lambda a: F.concat(F.lit("* "), a["text"])),
+        part("SOURCES", F.col("citations"), lambda c: F.concat(name(c), F.lit(" "), day(c), F.lit(" "), c["message_id"], F.coalesce(F.concat(F.lit(", "), c["subject"]), F.lit("")))),
+        F.when(F.size("entities") > 0, F.concat(F.lit("ABOUT  "), F.array_join(F.transform(F.slice("entities", 1, 5), lambda e: F.concat(e["name"], F.lit(" <"), F.lower(e["type"]), F.lit(" "), e["id"], F.lit(">"))), "; "))),
     ]
-    return packs.select("question_id", F.concat_ws("\n", *parts).alias("text"))
+    return packs.select("question_id", F.concat_ws("\n\n", *parts).alias("text"))
 
 
 def recall_at_k(found: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from quillgraph.functions import ids
 
 
+def _both(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """All rows with `__new`: 0 for those that exist, 1 for those that come. Existing rows keep their ord and sort first."""
+    new = incoming.withColumn("__new", F.lit(1))
+    return new if existing is None else existing.withColumn("__new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """The first row of each key: existing before new, then by ord, then by value."""
+    others = [c for c in rows.columns if c not in (key, "ord", "__new")]
+    return rows.groupBy(key).agg(F.min(F.struct("__new", "ord", *others)).alias("k")).select(key, "k.ord", *[f"k.{c}" for c in others])
+
+
 def _upsert(existing: DataFrame | None, incoming: DataFrame, key: str, kept: list[str], replaced: list[str]) -> DataFrame:
-    """Per key: kept columns from the first row, replaced ones from the last (by ord; what exists comes first). Nulls of the
+    """Per key: kept columns and ord from the first row, replaced ones from the last (existing rows come first, then by ord, then by value). Nulls of the
     deciding row survive, as whole structs are compared."""
-    rows = incoming if existing is None else existing.withColumn("ord", F.lit(-1).cast("long")).unionByName(incoming, allowMissingColumns=True)
-    out = rows.groupBy(key).agg(F.min_by(F.struct(*kept), "ord").alias("k"), F.max_by(F.struct(*replaced), "ord").alias("r"), F.min("ord").alias("ord"))
-    return out.select(key, *[F.col(f"k.{c}").alias(c) for c in kept], *[F.col(f"r.{c}").alias(c) for c in replaced], "ord")
+    rows = _both(existing, incoming)
+    out = rows.groupBy(key).agg(F.min(F.struct("__new", "ord", *kept)).alias("k"), F.max(F.struct("__new", "ord", *replaced)).alias("r"))
+    return out.select(key, *[F.col(f"k.{c}").alias(c) for c in kept], *[F.col(f"r.{c}").alias(c) for c in replaced], F.col("k.ord").alias("ord"))
 
 
 def upsert_messages(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """First write wins, by message_id."""
-    rows = incoming if existing is None else existing.withColumn("ord", F.lit(-1).cast("long")).unionByName(incoming, allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in ("message_id", "ord")]
-    return rows.groupBy("message_id").agg(F.min_by(F.struct(*others), "ord").alias("k"), F.min("ord").alias("ord")).select("message_id", "ord", "k.*")
+    return _first(_both(existing, incoming), "message_id")
 
 
 def upsert_entities(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
@@ -36,10 +46,7 @@ def upsert_claims(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
 
 def insert_evidence(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     """Insert or ignore by the evidence's id."""
-    rows = incoming.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start")))
-    rows = rows if existing is None else existing.withColumn("ord", F.lit(-1).cast("long")).unionByName(rows, allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in ("id", "ord")]
-    return rows.groupBy("id").agg(F.min_by(F.struct(*others), "ord").alias("k"), F.min("ord").alias("ord")).select("id", "ord", "k.*")
+    return _first(_both(existing, incoming.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start")))), "id")
 
 
 def append_new(existing: DataFrame | None, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -48,6 +55,12 @@ def append_new(existing: DataFrame | None, incoming: DataFrame, key: str = "id")
     return new if existing is None else existing.unionByName(new.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def write_graph(existing: dict[str, DataFrame | None], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A graph's tables after another run's rows were written to them: what is known keeps its place, logs grow by rows with new ids."""
+    upserts = {"messages": upsert_messages, "entities": upsert_entities, "claims": upsert_claims, "evidence": insert_evidence}
+    return {name: upserts.get(name, append_new)(existing.get(name), rows) for name, rows in new.items()}
+
+
 def run_row(runs: DataFrame) -> DataFrame:
     """Extraction runs with their ids: (model, schema_version, prompt_hash, message_count, error_count)."""
     return runs.withColumn("id", ids.run_id(F.col("model"), F.col("schema_version"), F.col("prompt_hash")))

@@ -101,10 +101,66 @@ def test_persons_merge_and_undo(spark):
     assert log == {ids[2]: "email_exact_match", ids[4]: "manual_override", ids[5]: "manual_override"}
     mails = {r.canonical_id: r.emails for r in entities.merged_emails(found).collect()}
     assert mails[ids[1]] == ["alee@a.x", "a.lee@b.x", "second@b.x", "zed@z.x", "o@o.x"]
-    back = {r.ord: r.canonical_id for r in entities.undo(p, links, p.where("ord = 2").select("id")).collect()}
+    back = {r.ord: r.canonical_id for r in entities.undo(p, p.where("ord = 2").select("id"), manual).collect()}
     assert back[2] == ids[2] and back[4] == back[5] == ids[4]
 
 
+def test_ties_in_ord_keep_their_links(spark):
+    same = [(1, "Ann Lee", ["alee@a.x"]), (1, "Ann Q Lee", ["a.lee@b.x"]), (1, "Bo", ["bo@x.y", "team@x.y"]), (1, "Cy", ["cy@x.y", "team@x.y"]), (1, "no address", []), (1, "null", None), (1, "blank", [None, " "])]
+    p = people(spark, same)
+    assert p.count() == 4
+    links = entities.edges(p)
+    assert sorted(r.reason for r in links.collect()) == ["email_exact_match", "username_name_cluster"]
+    found = entities.canonical(p, links).collect()
+    assert len(found) == 4 and len({r.canonical_id for r in found}) == 2 and all(r.canonical_id <= r.id for r in found)
+    lost = entities.rejected(spark.createDataFrame(same, "ord long, name string, emails array<string>")).collect()
+    assert {r.name for r in lost} == {"no address", "null", "blank"} and all(r.reject_reasons == ["no_address"] for r in lost)
+    h = spark.createDataFrame([(k, 7, v) for k, v in (("a", 5), ("b", 5), ("c", 4), ("d", 1 << 40))], "id string, ord long, simhash long")
+    pairs = dedup.near_pairs(h, id_col="id")
+    assert sorted((r.a, r.b, r.distance) for r in pairs.collect()) == [("a", "b", 0), ("a", "c", 1), ("a", "d", 3), ("c", "d", 2)]
+    assert {r.id: r.leader for r in dedup.leaders(h, pairs, id_col="id").collect()} == {"a": None, "b": "a", "c": "a", "d": "a"}
+    m = spark.createDataFrame([(1, "x", "t"), (1, "y", "t"), (1, "z", "u")], "ord long, message_id string, body string")
+    assert {r.message_id: r.duplicate_of for r in dedup.exact(m, F.col("body")).collect()} == {"x": None, "y": "x", "z": None}
+
+
+def test_a_common_user_name_makes_no_all_pairs(spark):
+    rows = [(i, f"Desk {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", [f"info@d{i}.x"]) for i in range(300)]
+    rows += [(1000 + i, "Front Office", [f"info@e{i}.x"]) for i in range(300)]
+    p = people(spark, rows)
+    links = entities.edges(p).collect()
+    assert len(links) == 299  # a star; "desk xy" and "desk zw" share one word of three
+    assert entities.username_stars(p).count() == 599
+    rng = random.Random(3)
+    words = [f"n{i}" for i in range(9)]
+    rows = [(i, " ".join(rng.sample(words, rng.randrange(1, 5))), [f"u{i % 2}@d{i}.x"]) for i in range(60)]
+    p = people(spark, rows)
+    got = {r.ord: r.canonical_id for r in entities.canonical(p, entities.edges(p)).collect()}
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            a, b = set(rows[i][1].split()), set(rows[j][1].split())
+            if i % 2 == j % 2 and len(a & b) >= 0.4 * len(a | b) - 1e-9:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    ids = {r.ord: r.id for r in p.collect()}
+    assert got == {i: ids[root[i]] for i in range(60)}
+
+
+def test_thread_roots_of_chains_and_circles(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("x", "y"), ("y", "x"), ("z", "x"), ("p", "q"), ("q", "r"), ("r", "p"), ("s", "s"), ("b", "zz"), (None, "a")]
+    rows += [(f"k{i}", f"k{i - 1}" if i else None) for i in range(40)]
+    got = {r.message_id: r.root for r in dedup.thread_roots(spark.createDataFrame(rows, "message_id string, in_reply_to string")).collect()}
+    want = {"a": "a", "b": "a", "c": "a", "d": "d", "x": "x", "y": "x", "z": "x", "p": "p", "q": "p", "r": "p", "s": "s"} | {f"k{i}": "k0" for i in range(40)}
+    assert got == want
+    assert dedup.thread_roots(spark.createDataFrame([], "message_id string, in_reply_to string")).count() == 0
+
+
+def test_directory_identity(spark):
+    p = people(spark, [(1, "A", ["a@x", "b@x"]), (2, "B", ["c@x"])])
+    table = spark.createDataFrame([("b@x", "E7"), ("a@x", "E1")], "email string, employee string")
+    assert {r.ord: r.employee for r in entities.directory(p, table).collect()} == {1: "E1", 2: None}
+
+
 def claims(spark, rows):
     return spark.createDataFrame([(i, *r, 0.8, "src", "msg", "x", 0) for i, r in enumerate(rows)], "ord long, type string, subject_id string, object_id string, text string, valid_from timestamp_ntz, confidence double, source_id string, message_id string, excerpt string, char_start int")
 
@@ -141,7 +197,15 @@ def test_semantic_groups_follow_the_sequential_rule(spark):
         if hit is None:
             groups.append((i, obj))
     df = spark.createDataFrame(rows, "ord long, type string, subject_id string, object_id string, text string, vector array<double>")
-    assert {r.ord: r.leader_ord for r in C.semantic_groups(df, threshold=0.8).collect()} == wanted
+    for head in (2048, 3):
+        assert {r.ord: r.leader_ord for r in C.semantic_groups(df, threshold=0.8, head=head).collect()} == wanted
+    full = df.withColumns({"confidence": F.lit(0.5), "valid_from": F.lit(None).cast("timestamp_ntz")})
+    merged, _ = C.deduplicate(full, threshold=0.8)
+    sizes = sorted(list(wanted.values()).count(g) for g in set(wanted.values()))
+    assert sorted(r.support_count for r in merged.collect()) == sizes
+    pairs = C.semantic_pairs(df.withColumn("k", F.lit("s")), key="k", id_col="ord", vector_col="vector", threshold=0.8)
+    assert C.judged(pairs).count() == pairs.count() and C.judged(pairs, F.col("cosine") > 2).count() == 0
+    assert C.semantic_groups(df.limit(0)).count() == 0
 
 
 def test_store(spark):
@@ -153,6 +217,10 @@ def test_store(spark):
     gone = store.soft_delete(store.upsert_entities(None, e), spark.createDataFrame([("e",)], "id string"), F.lit("2003-01-01").cast("timestamp_ntz"))
     assert store.entities_by_type(gone, "T").count() == 0 and store.entity(gone, "e").count() == 1
     assert store.search_entities(store.upsert_entities(None, e), "F_rS%").count() == 1
+    three = store.upsert_messages(None, spark.createDataFrame([(5, "m1", "one"), (9, "m2", "two")], "ord long, message_id string, subject string"))
+    for ord_ in (0, 7):
+        three = store.upsert_messages(three, spark.createDataFrame([(ord_, "m1", "late"), (ord_, "m3", "three")], "ord long, message_id string, subject string"))
+    assert {r.message_id: (r.ord, r.subject) for r in three.collect()} == {"m1": (5, "one"), "m2": (9, "two"), "m3": (0, "three")}
     new = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "id string, x int")
     assert store.append_new(store.append_new(None, new), new).count() == 2
 
@@ -172,15 +240,38 @@ def test_model_backend_repairs_and_gives_up(spark):
     def call(prompt):
         if "boom" in prompt:
             raise RuntimeError("down")
-        if "never" in prompt or ("once" in prompt and "not valid" not in prompt):
+        if "once" in prompt and "not valid" not in prompt:
+            return '{"claims": [{"excerpt": "x", "confidence": 7}, {"excerpt": ""}]}'
+        if "never" in prompt:
             return "no json"
         return '```json\n{"entities": [], "claims": []}\n```'
 
     got = {r.message_id: r for r in extract.ask(m, call).collect()}
     assert [got[k].retries for k in "abcd"] == [0, 1, 3, 0]
+    assert "ValidationError: 2 errors" in got["b"].errors[0] and "empty span" in got["b"].errors[0]
+    flagged = {r.message_id: (r.is_clean, r.grounding_complete) for r in extract.flags(extract.ask(m, call)).collect()}
+    assert flagged == {"a": (True, True), "b": (False, True), "c": (False, True), "d": (False, True)}
     assert got["c"].output is None and len(got["c"].errors) == 3 and "down" in got["d"].errors[0]
     with pytest.raises(LookupError):
         extract.backend("nothing")
+    extract.register_backend("tiny", lambda model: lambda prompt: model)
+    assert extract.backend("tiny-2")("x") == "tiny-2"
+    assert one(spark, extract.extraction_version("m")).startswith("m:1.0:") and len(one(spark, extract.prompt_hash("a"))) == 8
+
+
+def test_candidates_are_rejected_with_reasons(spark):
+    out = """{"entities": [{"type": "Decision", "name": "D", "vote_result": "maybe", "excerpt": "x"}, {"type": "Person", "name": "P", "email_addresses": [null, " "], "excerpt": "yy"},
+      {"type": "Issue", "external_id": "BZ-1", "confidence": -1}, {"type": "Thing", "label": "L", "excerpt": "long", "char_start": 8, "char_end": 90}],
+      "claims": [{"subject_name": "p", "object_name": "L", "text": "t", "excerpt": "zzz", "char_start": -4, "char_end": -9}, {"excerpt": "a", "char_start": 30}]}"""
+    rows = spark.createDataFrame([("m", "p@x.y", "S", 10, out), ("n", "", None, 10, '{"entities": [{"type": "Person", "excerpt": "x"}]}')], "message_id string, from_addr string, subject string, text_length int, output string")
+    parsed = rows.withColumn("out", extract.parse_output(F.col("output")))
+    e = extract.entity_candidates(parsed).where("message_id = 'm'").orderBy("i").collect()
+    assert [r.reject_reasons for r in e] == [["vote_result"], [], ["confidence", "empty_span"], []]
+    assert e[1].emails == ["p@x.y"] and '"emails":["p@x.y"]' in e[1].metadata_json and (e[3].type, e[3].char_start, e[3].char_end) == ("Concept", 8, 10)
+    assert extract.entity_candidates(parsed).where("message_id = 'n'").first().reject_reasons == ["no_address"]
+    c = extract.claim_candidates(parsed, extract.typed_entities(parsed)).orderBy("i").collect()
+    assert [(r.char_start, r.char_end, r.reject_reasons) for r in c] == [(0, 3, []), (30, 10, ["empty_span"])]
+    assert c[0].object_id == e[3].id and c[1].subject_id == "unresolved:"
 
 
 def test_retrieval_edges(spark):
@@ -189,10 +280,17 @@ def test_retrieval_edges(spark):
     ts = d.datetime(2003, 1, 1)
     docs = spark.createDataFrame([(f"c{i}/e", f"c{i}", "T", "s", "o", t, 0.9, 1, None, "e", src, f"m{i}", "x", ts) for i, (t, src) in enumerate([("red fox", "A"), ("red dog", "A"), ("red cat", "A"), ("red hen", "A"), ("red owl", "B"), ("blue", "C")])], "doc_id string, id string, type string, subject_id string, object_id string, text string, confidence double, support_count long, valid_to timestamp_ntz, evidence_id string, source_id string, message_id string, excerpt string, ts timestamp_ntz")
     q = spark.createDataFrame([(1, "red red"), (2, "nothing here")], "question_id int, question string")
-    top = retrieve.select_top(retrieve.hybrid(docs, q), k=4).orderBy("question_id", "rank").collect()
+    top = retrieve.select_top(retrieve.hybrid(retrieve.build_index(docs), q), k=4).orderBy("question_id", "rank").collect()
     assert [r.id for r in top if r.question_id == 1] == ["c0", "c1", "c2", "c4"]  # three of source A at most
     assert [r.id for r in top if r.question_id == 2] == ["c0", "c1", "c2", "c4"]
-    empty = retrieve.hybrid(docs.limit(0), q)
+    empty = retrieve.hybrid(retrieve.build_index(docs.limit(0)), q)
     pack = retrieve.context_packs(q, retrieve.select_top(empty), spark.createDataFrame([], "id string, type string, name string, deleted_at timestamp_ntz"), spark.createDataFrame([], "id string, claim_a_id string, claim_b_id string, resolution string"), spark.createDataFrame([], "id string, text string"))
     assert [r.snippets for r in pack.collect()] == [None, None] and pack.first().ambiguities[0].text == "No indexed evidence."
-    assert "Question: red red" in retrieve.render(pack).where("question_id = 1").first().text
+    assert retrieve.render(pack).where("question_id = 1").first().text.startswith("QUESTION  red red\n\nOPEN QUESTIONS\n* ")
+    same = docs.withColumn("text", F.lit("to be or not to be")).limit(1)
+    got = {r.token: (r.tf, r.dl) for r in retrieve.build_index(same).postings.collect()}
+    assert got == {"to": (2, 7), "be": (2, 7), "or": (1, 7), "not": (1, 7), "x": (1, 7)}
+    vectors = spark.createDataFrame([("c5", [1.0, 0.0])], "id string, vector array<double>")
+    asked = q.withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    best = retrieve.select_top(retrieve.hybrid(retrieve.build_index(docs), asked, vectors), k=1)
+    assert {r.question_id: r.id for r in best.collect()}[2] == "c5"
