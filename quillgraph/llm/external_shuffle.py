@@ -6,9 +6,9 @@ after another give one random order of all records; shard s holds the positions
 row counts differ by one at most (the law is `rows`), and a record's slot is its distance from its shard's start.
 
 The only record-sized shuffle is the scatter. Bucket offsets come from a count per bucket over the hashed columns alone
-and travel to the records with that shuffle. Copies of one record would meet in one bucket, so a copy's rank among the rows with
-its hash is part of the hash wherever a hash has more than `copies` rows; such ranks follow the input's partitions, which
-matters to no one since these rows are equal in all that is hashed.
+and travel to the records with that shuffle. Copies of one record would meet in one bucket, so wherever a hash has more than `copies` rows
+each of them gets a number that is part of the hash. These rows are written once with their numbers, so that what counts them and what
+deals them agree even if an executor is lost; which copy has which number matters to no one, since they are equal in all that is hashed.
 """
 
 from __future__ import annotations
@@ -59,13 +59,20 @@ def shuffle(docs: DataFrame, *, key: Column, size: Column, shards: int = 8, seed
     rows, buckets = facts["rows"], 1 + int(facts["bytes"] or 0) // bucket_bytes
     keyed = docs.withColumn("__es_key", mark)
     hot = stored(keyed.groupBy("__es_key").agg(F.count("*").alias("__es_n")).where(F.col("__es_n") > copies).select(F.col("__es_key").alias("__es_hot")), "hot-keys")
-    spread = F.lit(0).cast("long")
-    if not hot.isEmpty():
-        keyed = keyed.join(hot, F.col("__es_key") == F.col("__es_hot"), "left")
-        spread = F.when(F.col("__es_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(spread)
-    keyed = keyed.withColumn("__es_tie", spread).withColumn("__es_bucket", F.pmod(F.xxhash64("__es_key", "__es_tie", F.lit(seed)), F.lit(buckets))).drop("__es_hot")
-    counts = keyed.groupBy("__es_bucket").agg(F.count("*").alias("n"))
-    starts = stored(counts.select(F.col("__es_bucket").alias("__es_b"), (F.sum("n").over(Window.orderBy("__es_bucket")) - F.col("n")).alias("__es_start")), "bucket-starts")
+    plain = F.lit(0).cast("long")
+    if hot.isEmpty():
+        keyed = keyed.withColumn("__es_tie", plain)
+    else:
+        same = F.col("__es_key") == F.col("__es_hot")
+        numbered = stored(keyed.join(hot, same).drop("__es_hot").withColumn("__es_tie", F.monotonically_increasing_id()), "hot-rows")
+        keyed = keyed.join(hot, same, "left_anti").withColumn("__es_tie", plain).unionByName(numbered)
+    keyed = keyed.withColumn("__es_bucket", F.pmod(F.xxhash64("__es_key", "__es_tie", F.lit(seed)), F.lit(buckets)))
+    counts = keyed.groupBy("__es_bucket").agg(F.count("*").alias("n")).withColumn("span", F.expr("__es_bucket div 4096"))
+    spans = counts.groupBy("span").agg(F.sum("n").alias("m"))  # prefix sums in two levels
+    spans = spans.select(F.col("span").alias("s"), (F.sum("m").over(Window.orderBy("span")) - F.col("m")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("span").orderBy("__es_bucket")) - F.col("n")
+    starts = counts.withColumn("within", within).join(spans, F.col("span") == F.col("s"))
+    starts = stored(starts.select(F.col("__es_bucket").alias("__es_b"), (F.col("before") + F.col("within")).alias("__es_start")), "bucket-starts")
     dealt = keyed.join(starts, keyed["__es_bucket"] == starts["__es_b"]).drop("__es_b")
     schema = T.StructType([*docs.schema.fields, T.StructField("__es_position", T.LongType())])
     placed = dealt.groupBy("__es_bucket").applyInArrow(_permute(seed, len(docs.columns)), schema)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.plans.scratch import scratch
+
 from .common import small_batches, text_bytes
 
 #: Words are runs of ASCII digits and letters and of all that is not ASCII; other bytes become a space, A-Z lower case.
@@ -129,19 +131,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     No shuffle: the benchmark is cut into blocks of about block_bytes of text by a hash, each is sent to the executors on its own
     and scanned for in one narrow pass over the documents, which adds to what the passes before it found; so the size of what is sent
     at once is bounded and the benchmark's is not. Null and empty texts have no words; items without words or without an id occur
-    nowhere; equal items all count; an empty benchmark hits nothing.
+    nowhere; equal items all count; an empty benchmark hits nothing. Columns of docs that have the names of the three are replaced, all others stay.
+    An empty docs table gives an empty result; very long texts and repeated rows are like others.
     """
     own = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     made = (f"{prefix}n_words", f"{prefix}spans", f"{prefix}items")
-    out = docs
-    extra = T._parse_datatype_string(f"`{made[0]}` long, `{made[1]}` array<struct<start: int, end: int>>, `{made[2]}` array<string>").fields
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in made] + extra)
+    if blocks > 1:  # so that each pass reads its own block alone
+        path = scratch(docs.sparkSession, "benchmark-blocks")
+        own.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(path)
+        own = docs.sparkSession.read.schema("item string, text string, block long").parquet(path)
+    out = docs.drop(*made)
+    between = [f"__wm_{c}" for c in ("words", "spans", "items")]  # between passes; no column of docs is taken for theirs
+    while any(c in out.columns for c in between):
+        between = [f"_{c}" for c in between]
+    extra = T._parse_datatype_string(f"`{between[0]}` long, `{between[1]}` array<struct<start: int, end: int>>, `{between[2]}` array<string>").fields
+    schema = T.StructType([*out.schema.fields, *extra])
     for k in range(blocks):
-        items = [(r.item, r.text.encode()) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]  # about block_bytes
-        out = out.mapInArrow(_scan(items, window, text_col, made), schema)
-    return out
+        block = own.where(F.col("block") == k) if blocks > 1 else own
+        items = [(r.item, r.text.encode()) for r in block.collect()]  # about block_bytes
+        out = out.mapInArrow(_scan(items, window, text_col, tuple(between)), schema)
+    return out.withColumnsRenamed(dict(zip(between, made, strict=True)))
 
 
 def digest(items: list[str]) -> str:

@@ -14,34 +14,86 @@ def corpus(spark, n=600):
 
 def test_targets_by_hand(spark):
     sizes = spark.createDataFrame([("b", 100), ("a", 10), (None, 50), ("c", 40)], "source string, size long")
-    got = source_mix.targets(sizes)
+    got = sorted(map(tuple, source_mix.targets(sizes).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     assert [s for s, *_ in got] == ["a", "b", "c", None]
     # 300 to share by 5, 2, 1, 5: a is full with 20, then null with 100; 180 over 2 and 1: c is full with 80 > 60? no
     assert [t for *_, t in got] == pytest.approx([20, 120, 60, 100])
+    many = spark.range(5000).select(F.format_string("h%05d", "id").alias("source"), (F.col("id") * 37 % 101).alias("size"))
+    rows = {r.source: r for r in source_mix.targets(many).collect()}
+    n = [rows[f"h{i:05d}"].source_size for i in range(5000)]
+    t = [rows[f"h{i:05d}"].target for i in range(5000)]
+    w = [(5, 2, 1)[i % 3] for i in range(5000)]
+    share, open_, given = 1.5 * sum(n), set(range(5000)), [0.0] * 5000
+    while open_:
+        unit = share / sum(w[i] for i in open_)
+        full = {i for i in open_ if w[i] * unit >= 2 * n[i]}
+        for i in full or open_:
+            given[i] = 2.0 * n[i] if full else w[i] * unit
+        share -= sum(2 * n[i] for i in full)
+        open_ = open_ - full if full else set()
+    assert t == pytest.approx(given)
+    assert all(r.target == 0 for r in source_mix.targets(many.withColumn("size", F.lit(0))).collect())
+
+
+def rows_of(plan):
+    """A plan's rows, one for each copy, with how often it is taken."""
+    return [(r, r.whole + (k < r.extra)) for r in plan.collect() for k in range(r.copies)]
 
 
 def test_plan_keeps_to_targets_and_epochs(spark):
     docs = corpus(spark)
-    rows = source_mix.plan(docs, rows_per_bin=50).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, source_mix.plan(docs.repartition(2), rows_per_bin=7).collect()))
+    rows = rows_of(source_mix.plan(docs, rows_per_bin=50))
+    assert sorted(map(str, rows)) == sorted(map(str, rows_of(source_mix.plan(docs.repartition(2), rows_per_bin=7))))
     assert len(rows) == docs.count()
     taken, size, target, epochs = Counter(), Counter(), {}, defaultdict(set)
-    for r in rows:
-        taken[r.source] += r.taken
+    for r, times in rows:
+        taken[r.source] += times * r["size"]
         size[r.source] += r["size"]
         target[r.source] = r.target
-        epochs[r.source].add(r.epochs)
-        assert r.taken <= 2 * r["size"] and r.source_size >= r["size"]
+        epochs[r.source].add(times)
+        assert times <= 2 and r.source_size >= r["size"]
     for s in size:
         assert abs(taken[s] - target[s]) <= 12 and target[s] <= 2 * size[s]
         assert max(epochs[s]) - min(epochs[s]) <= 1  # whole epochs come first
     assert abs(sum(target.values()) - 1.5 * sum(size.values())) < 1e-6
 
 
+def test_repeated_rows_keep_to_the_target(spark):
+    import duckdb
+
+    from quillgraph.llm.queries import ORACLE_SQL
+
+    rows = [(1, "word " * 100, "s")] * 400 + [(i, "some words here", ("s", "t", None)[i % 3]) for i in range(2, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    each = rows_of(source_mix.plan(docs, total=0.5))
+    for s in ("s", "t", None):
+        assert abs(sum(n * r["size"] for r, n in each if r.source == s) - next(r.target for r, _ in each if r.source == s)) <= 50
+    out = source_mix.mix(docs.withColumn("extra", F.lit("x")), total=0.5)
+    got = Counter((r.doc_id, r.source) for r in out.collect())
+    want = Counter()
+    for r, n in each:
+        want[r.doc_id, r.source] += n
+    assert got == +want and 0 < got[1, "s"] < 400
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.sql("create table documents as select doc_id::bigint doc_id, text, source from documents")
+    theirs = sorted(con.sql(f"select doc_id, taken from ({ORACLE_SQL['op4_source_mixing']})").fetchall())
+    assert theirs == sorted((r.doc_id, n * r["size"]) for r, n in rows_of(source_mix.plan(docs)))
+
+
+def test_no_bin_is_hot(spark):
+    rows = [(i, "### " * (1 + i % 9) if i % 2 else "word " * 9, "s") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    text = F.col("text")
+    key = -F.ln(source_mix.uniform(11, F.col("doc_id"), F.md5(text))) / source_mix.quality(text, F.lit(1))
+    most = docs.groupBy(F.floor(F.ln(key) * 50)).count().agg(F.max("count")).first()[0]
+    assert most < 0.4 / 50 * 20_000 * 1.5
+
+
 def test_heavier_weights_are_taken_more_often(spark):
     rows = [(i, ("word " * 10) if i % 2 else ("### " * 10), "s") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = source_mix.plan(docs, total=0.5).groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum("epochs").alias("n")).collect()
+    got = source_mix.plan(docs, total=0.5).groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum(F.col("whole") * F.col("copies") + F.col("extra")).alias("n")).collect()
     by = {r.good: r.n for r in got}
     assert by[1] > 2 * by[0]
 
@@ -82,6 +134,9 @@ def test_shuffle_odd_rows_and_hot_copies(spark, odd_rows):
     out = external_shuffle.shuffle(docs, key=F.xxhash64("doc_id", "text"), size=F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     assert out.count() == odd_rows.count() and sorted(r.slot for r in out.where("shard = 0").collect()) == [0, 1]
     hot = spark.range(400).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text"))
+    part = hot.unionByName(docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text"))
+    both = external_shuffle.shuffle(part, key=F.xxhash64("doc_id", "text"), size=F.lit(5), bucket_bytes=100, copies=50)
+    assert both.count() == part.count() and both.select("shard", "slot").distinct().count() == part.count()
     spread = external_shuffle.shuffle(hot, key=F.xxhash64("doc_id", "text"), size=F.lit(5), bucket_bytes=100, copies=50)
     assert spread.select("shard", "slot").distinct().count() == 400
     assert external_shuffle.shuffle(odd_rows.limit(0), key=F.lit(1), size=F.lit(1)).count() == 0
@@ -91,3 +146,17 @@ def test_written_shards_read_back(spark, odd_rows):
     docs = odd_rows.select("doc_id", "text")
     path = external_shuffle.write(external_shuffle.shuffle(docs, key=F.xxhash64("doc_id", "text"), size=F.lit(1)))
     assert sorted(map(str, spark.read.parquet(path).select("doc_id", "text").collect())) == sorted(map(str, docs.collect()))
+
+
+def test_query_columns_against_python(spark):
+    import zlib
+
+    from quillgraph.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in queries.op5_sharding(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        assert (rows[d.doc_id]["size"], rows[d.doc_id].text_crc32, rows[d.doc_id].law, rows[d.doc_id].grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
