@@ -33,7 +33,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = source_mix.plan(_table(spark, sf_dir, "documents"))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "size", "source_size", "target", "taken")
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    times = F.col("whole") + (F.col("copy") <= F.col("extra")).cast("int")
+    return each.select("doc_id", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +88,9 @@ r(round, source, n, w, share, target, done) as (
   from (select *, not done and w*unit>=2.0::double*n now, bool_or(not done and w*unit>=2.0::double*n) over () any_full
         from (select *, share/sum(case when not done then w end) over () unit, bool_and(done) over () over_ from r) where not over_)),
 t as (select source, n source_size, target, case when n>0 then floor(target/n)::int else 0 end whole from r where round=(select max(round) from r)),
-k as (select doc_id, source, size, -ln((('0x'||md5('11|'||coalesce(doc_id::varchar,'null'))[1:12])::ubigint::double+0.5)/281474976710656.0::double)
+k as (select doc_id, source, size, text, -ln((('0x'||md5('11|'||coalesce(doc_id::varchar,'null')||'|'||md5(coalesce(text,'')))[1:12])::ubigint::double+0.5)/281474976710656.0::double)
   / greatest(coalesce(pow(1-(length(text)-length(regexp_replace(text,'[#*$%&|<>!]','','g')))::double/greatest(length(text),1),2.0),0.01),0.01) key from d),
-o as (select k.*, sum(size) over (partition by source order by key, doc_id) upto from k)
+o as (select k.*, sum(size) over (partition by source order by key, doc_id, text rows unbounded preceding) upto from k)
 select doc_id, size, source_size, target, (least(whole + case when target-whole*source_size>0 and upto-size/2.0<=target-whole*source_size then 1 else 0 end, 2)*size)::bigint taken
 from o join t on o.source is not distinct from t.source
 """,
