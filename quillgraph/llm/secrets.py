@@ -12,12 +12,13 @@ characters: an identifier with a secret, a secret with an identifier or an endpo
 secret. Strong findings are identifiers (access) and secrets (assign, hex) of that join too. The join is an interval join: parts are
 dealt to bins of `scope` characters, one side to the neighbouring bins as well, and joined on (text, bin).
 
-How it runs: one scan marks texts that hold any candidate; only those, each distinct text once, are cut into matches. A match's
+How it runs: one scan marks and keeps texts that hold any candidate; only those, each distinct text once, are cut into matches. A match's
 place is a running sum over the lengths of the pieces between matches, so a text with very many matches costs in proportion.
 Results go back to the documents by the text's hash; documents without candidates have unmatched keys of their own, so no
 key gathers them.
 
-Null and empty texts find nothing. Equal texts share their findings; repeated rows give repeated rows.
+Null and empty texts find nothing. Equal texts share their findings; repeated rows give repeated rows. Findings of one start are ordered by kind. An empty
+table gives an empty result; of the other columns none is read, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,16 +106,17 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
     weak kinds after the base kinds. null without findings."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     any_of = "|".join([ASSIGN, r"AKIA[A-Z0-9]{4}", HEX, _KEY40])
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("hit", F.col("text").rlike(any_of))
-    hits = rows.where("hit").select(F.sha2("text", 256).alias("key"), "text")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("text", F.when(F.col("text").rlike(any_of), F.col("text")))
+    key = F.when(F.col("text").isNotNull(), F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("id").cast("string")))
+    rows = stored(rows.select("id", key.alias("key"), "text"), "secret-marks")  # the candidate pattern runs once over each text
+    hits = rows.where("text is not null").select("key", "text")
     texts = stored(hits.groupBy("key").agg(F.first("text").alias("text")), "secret-texts")
     found = stored(parts(texts), "secret-parts")
     strong = found.where("strong").select("key", "kind", "start", "end")
     order = F.array_position(F.array(*[F.lit(k) for k in (*BASE, "weak_identifier", "weak_secret", "endpoint")]), F.col("kind")).cast("int")
     spans = strong.unionByName(linked(found, scope)).distinct().select("key", F.struct(F.col("start").cast("int").alias("start"), order.alias("order"), F.col("end").cast("int").alias("end"), "kind").alias("f"))
     by_text = spans.groupBy("key").agg(F.sort_array(F.collect_list("f")).alias("findings"))  # the findings of one text
-    key = F.when(F.col("hit"), F.sha2("text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("id").cast("string")))
-    out = rows.select("id", key.alias("key")).join(by_text, "key", "left")
+    out = rows.select("id", "key").join(by_text, "key", "left")
     return out.select(F.col("id").alias(id_col), F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["kind"].alias("kind"))).alias("findings"))
 
 
