@@ -8,13 +8,16 @@ paragraphs and headings, list items with bullets or numbers and indents, table c
 text as it stands, other white space collapsed. Formulas give their signs in order, drawings their text labels, a closed select the option it
 shows, buttons and text fields their values.
 
-Null html gives null, empty html the empty text. Broken or cut-off markup never fails; nesting of any depth is rendered without recursion
-(blocks nested deeper than `DEEPEST` are shown in the block at that depth). Repeated rows are rendered each.
+Null html gives null, empty html the empty text. Broken or cut-off markup never fails; nesting of any depth is rendered without recursion, and work
+grows with the page's length: elements that may not be open are not looked for, and a block within more than `DEEPEST` other blocks (inline elements don't
+count) is laid out in the block at that depth, its text whole. Row and column spans reach as far as the table's other cells. Repeated rows are rendered each,
+very long pages whole, an empty table gives an empty result; of the other columns none is read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -64,7 +67,8 @@ _BOUNDED = {"li": frozenset("ul ol menu dir table".split()), "td": frozenset({"t
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+_HIDING = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 
 class Node:
@@ -84,20 +88,31 @@ def build(html: str) -> Node:
     """The tree under one root."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of each tag, where it is open
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        """Close what is open from place i on."""
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+
+    def last(tags) -> int:
+        """The place of the innermost open element of `tags`; 0 if there is none."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags, within) -> None:
         """Close the innermost open element of `tags`, unless one of `within` is open inside it."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in within:
-                return
+        i = last(tags)
+        if i and i >= last(within):
+            cut(i)
 
     def text(raw: str, entities: bool = True) -> None:
         if raw:
             if stack[-1].tag == "head" and raw.strip():
-                stack.pop()  # text is no part of a head: a body is implied
+                cut(len(stack) - 1)  # text is no part of a head: a body is implied
             if stack[-1].tag in ("table", "tr", "tbody", "thead", "tfoot") and not raw.strip():
                 return
             stack[-1].children.append(unescape(raw) if entities and "&" in raw else raw)
@@ -114,7 +129,7 @@ def build(html: str) -> Node:
             tag = m[1].lower()
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(n.tag == "p" for n in stack[1:]):
+            elif tag == "p" and not places.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag not in ("html", "body"):
                 close((tag,) if tag[:1] != "h" or tag[1:] not in "123456" else ("h1", "h2", "h3", "h4", "h5", "h6"), _BOUNDED.get(tag, _BARRIER - {tag} if tag not in BLOCK else ()))
@@ -124,19 +139,18 @@ def build(html: str) -> Node:
         tag, attributes = m[2].lower(), m[3] or ""
         if tag in ("html", "body"):
             if tag == "body" and stack[-1].tag == "head":
-                stack.pop()
+                cut(len(stack) - 1)
             root.attributes += " " + attributes if tag == "body" else ""
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in IMPLIED:
             close_tags, within = IMPLIED[tag]
             if tag in ("tr", "tbody", "thead", "tfoot", "td", "th"):
-                for i in range(len(stack) - 1, 0, -1):  # all of them up to the table or row
-                    if stack[i].tag in within:
-                        break
-                    if stack[i].tag in close_tags:
-                        del stack[i:]
+                bound = last(within)  # all of them up to the table or row
+                first = min((next(x for x in places[t][bisect(places[t], bound) :]) for t in close_tags if places.get(t) and places[t][-1] > bound), default=0)
+                if first:
+                    cut(first)
             else:
                 close(close_tags, within)
         if tag in CLOSES_P:
@@ -144,10 +158,10 @@ def build(html: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attributes)
         stack[-1].children.append(node)
-        if (tag in UNDRAWN or tag not in BLOCK and attributes.rstrip().endswith("/")) and any(n.tag in ("svg", "math") for n in stack):
+        if (tag in UNDRAWN or tag not in BLOCK and attributes.rstrip().endswith("/")) and last(("svg", "math")):
             if attributes.rstrip().endswith("/"):
                 continue
             node.attributes += " hidden"
@@ -160,7 +174,7 @@ def build(html: str) -> Node:
             stop = html.find(">", end) if end >= 0 else -1
             at = stop + 1 if stop >= 0 else size
         elif tag not in VOID and not (attributes.rstrip().endswith("/") and tag not in BLOCK and tag in ("path", "g", "use")):
-            stack.append(node)
+            push(node)
     return root
 
 
@@ -181,6 +195,15 @@ def visible(node: Node, parent: Node | None) -> bool:
     return True
 
 
+def concealed(node: Node, inherited: bool) -> bool:
+    """Whether text directly in the element is invisible by `visibility`, which children inherit and may take back."""
+    if "visib" in node.attributes.lower():
+        found = _VISIBILITY.findall(node.get("style") or "")
+        if found:
+            return found[-1].lower() != "visible"
+    return inherited
+
+
 def shown_option(select: Node) -> Node | None:
     """The option that a closed select shows: the last selected one, else the first that is not disabled."""
     first = chosen = None
@@ -256,52 +279,81 @@ class Layout:
 
 
 class _Table:
-    """Rows of cells; rendered with columns as wide as their widest single line."""
+    """Rows of cells; rendered with columns as wide as their widest single line. A cell that spans rows is shown in its first; the columns it covers below stay
+    empty. A column span ends at the last column that the table's cells begin in."""
 
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
         self.captions: list[str] = []
 
+    def _placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """For each row its cells as (first column, columns, lines)."""
+        taken: dict[int, int] = {}  # column -> rows below for which a cell above covers it
+        placed, columns = [], 0
+        for row in self.rows:
+            at, cells, below = 0, [], dict(taken)
+            for lines, span, down in row:
+                while taken.get(at, 0) > 0:
+                    at += 1
+                cells.append((at, span, lines))
+                columns = max(columns, at + 1)
+                if down > 1:
+                    for j in range(at, at + min(span, 1000)):
+                        below[j] = down
+                at += span
+            taken = {j: n - 1 for j, n in below.items() if n > 1}
+            placed.append(cells)
+        return [[(at, max(1, min(span, columns - at)), lines) for at, span, lines in cells] for cells in placed]
+
     def done(self) -> list[str]:
         width: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
+        placed = self._placed()
+        for cells in placed:
+            for at, span, lines in cells:
                 if span == 1:
                     width[at] = max(width.get(at, 0), *(len(x) for x in lines or [""]))
-                at += span
         out = list(self.captions)
-        for row in self.rows:
-            height = max((len(lines) for lines, _ in row), default=0)
-            for k in range(height):
-                at, line = 0, []
-                for lines, span in row:
+        for cells in placed:
+            for k in range(max((len(lines) for *_, lines in cells), default=0)):
+                column, line = 0, []
+                for at, span, lines in cells:
+                    line += [" " * width.get(j, 0) for j in range(column, at)]
                     room = sum(width.get(at + j, 0) for j in range(span)) + 2 * (span - 1)
                     line.append((lines[k] if k < len(lines) else "").ljust(room))
-                    at += span
+                    column = at + span
                 out.append("  ".join(line).rstrip())
         return out
 
 
-def _int(text: str | None, default: int, most: int = 1000) -> int:
-    try:
-        return max(0, min(int((text or "").strip()), most))
-    except ValueError:
-        return default
+def _int(text: str | None, default: int) -> int:
+    """The whole number that a text begins with, as attributes are read."""
+    m = re.match(r"\s*([+-]?\d{1,15})", text or "")
+    return int(m[1]) if m else default
+
+
+def _span(text: str | None) -> int:
+    return max(_int(text, 1), 1)
 
 
 def render(html: str) -> str:
     """All visible text of a page."""
     top = Layout()
-    # each frame: node, children left, layout, pre, how it ends
+    # each frame: node, children seen, layout, pre, how it ends
     frames: list[list] = [[build(html), 0, top, False, None]]
+    # beside each frame: whether its text is concealed, how many blocks it is in, whether a list item is around it
+    around: list[tuple[bool, int, bool]] = [(concealed(frames[0][0], False), 0, False)]
     tables: list[_Table] = []
     numbers: list[int | None] = []
     drawings: list[Node] = []
     while frames:
         node, i, layout, pre, ending = frames[-1]
+        if len(around) < len(frames):  # the frame was opened by the last child
+            hide, depth, item = around[-1]
+            around.append((concealed(node, hide), depth + (node.tag in BLOCK), item or node.tag == "li"))
+        hide, depth, _ = around[-1]
         if i >= len(node.children):
             frames.pop()
+            around.pop()
             if ending:
                 ending()
             continue
@@ -310,7 +362,7 @@ def render(html: str) -> str:
         if isinstance(child, str):
             if drawings and next(f[0].tag for f in reversed(frames) if f[0].tag in ("svg", "text", "foreignobject")) == "svg":
                 continue  # only labels are drawn
-            if node.tag != "details" or node.get("open") is not None:
+            if not hide and (node.tag != "details" or node.get("open") is not None):
                 layout.inline(child, pre)
             continue
         tag = child.tag
@@ -326,17 +378,17 @@ def render(html: str) -> str:
             layout.inline(" ", False)
             frames.append([child, 0, layout, pre, lambda x=layout: x.inline(" ", False)])
         elif tag == "input":
-            if (child.get("type") or "").strip().lower() not in WORDLESS:
+            if (child.get("type") or "").strip().lower() not in WORDLESS and not concealed(child, hide):
                 layout.inline(f" {child.get('value') or ''} ", False)
         elif tag == "select" and child.get("multiple") is None and _int(child.get("size"), 1) <= 1:
             option = shown_option(child)
             if option is not None:
                 layout.inline(" ", False)
-                if option.get("label"):
+                if option.get("label") and not concealed(child, hide):
                     layout.inline(f" {option.get('label')} ", False)
                 else:
                     frames.append([option, 0, layout, pre, lambda x=layout: x.inline(" ", False)])
-        elif tag not in BLOCK or len(frames) > DEEPEST:
+        elif tag not in BLOCK or depth > DEEPEST:
             if tag in BLOCK:
                 layout.end()
                 frames.append([child, 0, layout, pre or tag == "pre", layout.end])
@@ -362,10 +414,10 @@ def render(html: str) -> str:
             frames.append([child, 0, layout, pre, None])
         elif tag in ("td", "th") and tables and tables[-1].rows:
             own = Layout()
-            span = _int(child.get("colspan"), 1) or 1
-            frames.append([child, 0, own, pre, lambda own=own, span=span, row=tables[-1].rows[-1]: row.append((own.done(), span))])
+            spans = _span(child.get("colspan")), _span(child.get("rowspan"))
+            frames.append([child, 0, own, pre, lambda own=own, spans=spans, row=tables[-1].rows[-1]: row.append((own.done(), *spans))])
         elif tag in ("ul", "ol", "menu", "dir"):
-            nested = any(f[0].tag == "li" for f in frames)
+            nested = around[-1][2]
             own = Layout()
             numbers.append(_int(child.get("start"), 1) if tag == "ol" else None)
 
@@ -377,6 +429,7 @@ def render(html: str) -> str:
         elif tag == "li":
             own, mark = Layout(), "- "
             if numbers and numbers[-1] is not None:
+                numbers[-1] = _int(child.get("value"), numbers[-1])
                 mark = f"{numbers[-1]}. "
                 numbers[-1] += 1
 
