@@ -6,17 +6,19 @@
 2. Documents with the same set form a class; only classes go on.
 3. In each bucket of each band, all classes are compared with one of them, its centre (chosen by hash): a star, not all
    pairs. Pairs whose sizes or sketches rule the threshold out go; the others are confirmed on full sets.
-4. Components of the confirmed links. What is left are pairs in one bucket and in different components; these are compared
-   through their sketches in tiles of about `tile` classes. In buckets of over `small` classes the rows bring their full sets
-   along, so survivors are confirmed in place and only links that connect something are given out; in smaller ones the
-   surviving pairs are confirmed like the star's. So every pair that shares a bucket is either already connected or was
-   looked at: buckets have no cap.
+4. Components of the confirmed links. What is left are pairs in one bucket and in different components. Of each bucket with several components,
+   only the classes outside its largest one are compared with all others, in tiles of at most about `tile` classes a side, so a bucket of m classes of
+   which r stand outside the largest component costs r m sketch comparisons, and sends r m / tile + m rows. Tiles see sketches alone. A tile with no more candidate pairs than
+   rows gives these out, to be confirmed like the star's; of others the classes that have a candidate bring their full sets to a second pass over the
+   same tiles, where candidates are confirmed in place and only links that connect something are given out. So every pair that shares a bucket is either
+   already connected or was looked at: buckets have no cap, and what is listed grows with the rows. Many tiles share a task's batch, by a hash.
 
 A pair of similarity s shares a bucket with probability 1 - (1 - s**rows)**bands (30 bands of 4 rows: 1 - 1.3e-7 at 0.8).
 The sketch threshold lies `slack` below the wanted similarity, over five standard errors.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and documents that share an id are members of
-their texts' classes each. The component's id is the least id in it, ignoring nulls; other columns are not read.
+their texts' classes each. The component's id is the least id in it, ignoring nulls; other columns are not read, whatever their names. Texts of any length
+are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -128,35 +130,94 @@ def _exact_links(candidates, sets: list[np.ndarray], label: np.ndarray, threshol
     return links
 
 
-def _tiles(threshold_pct: int, most_odd: float):
-    """Of two tiles of one bucket (or of one tile with itself): the pairs of different components that sizes and sketches don't rule
-    out; where the rows bring their full sets, only confirmed links, as many as connect the tile (sure)."""
+class _Tiles:
+    """The tiles of a batch: rows in order of (band, hash, low, high, side), and where each tile begins."""
+
+    KEYS = ("band", "hash", "low", "high")
+
+    def __init__(self, table: pa.Table):
+        keys = [table[c].to_numpy() for c in ("side", *reversed(self.KEYS))]
+        self.order = np.lexsort(keys)
+        same = [k[self.order] for k in keys[1:]]
+        new = np.ones(len(self.order), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in same])
+        self.starts = np.flatnonzero(new)
+        self.ends = np.r_[self.starts[1:], len(self.order)]
+        self.side, self.n, self.label = (table[c].to_numpy()[self.order] for c in ("side", "n", "label"))
+        self.odd = np.stack([table[f"o{i}"].to_numpy()[self.order] for i in range(BITS // 64)], axis=1).view(np.uint64)
+
+    def pairs(self, a: int, b: int, threshold_pct: int, most_odd: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Of the tile at rows a to b: (row, rows), pairs of different components that sizes and sketches don't rule out. A tile with one side is
+        compared with itself."""
+        cut = a + int(np.searchsorted(self.side[a:b], 1))
+        right = np.arange(cut, b)
+        for i in range(a, cut):
+            others = right if cut < b else np.arange(i + 1, b)
+            others = others[(self.label[others] != self.label[i]) & (np.minimum(self.n[i], self.n[others]) * 100 >= threshold_pct * np.maximum(self.n[i], self.n[others]))]
+            others = others[np.bitwise_count(self.odd[others] ^ self.odd[i]).sum(axis=1) <= most_odd]
+            if len(others):
+                yield i, others
+
+
+def _candidates(threshold_pct: int, most_odd: float):
+    """Of a batch of tiles: a tile's candidate pairs (digest, other), if they are no more than its rows; else its rows that have a candidate, with other
+    null, for the second pass. So what is given out grows with the rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, n = table["side"].to_numpy(), table["n"].to_numpy()
-        label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
-        digest = table["digest"].to_pylist()
-        odd = np.array(table["odd"].to_pylist(), np.int64).view(np.uint64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not len(right)
-
-        def candidates():
-            for k, i in enumerate(left):
-                others = left[k + 1 :] if alone else right
-                others = others[(label[others] != label[i]) & (np.minimum(n[i], n[others]) * 100 >= threshold_pct * np.maximum(n[i], n[others]))]
-                yield i, others[np.bitwise_count(odd[others] ^ odd[i]).sum(axis=1) <= most_odd]
-
-        exact = table["shingles"].null_count == 0
-        if exact:
-            pairs = _exact_links(candidates(), [np.asarray(x.values) for x in table["shingles"].combine_chunks()], label, threshold_pct)
-        else:
-            pairs = [(i, j) for i, others in candidates() for j in others]
-        a, b = [min(digest[i], digest[j]) for i, j in pairs], [max(digest[i], digest[j]) for i, j in pairs]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "sure": pa.array([exact] * len(a), pa.bool_())})
+        tiles = _Tiles(table)
+        left, right, hit = [], [], np.zeros(table.num_rows, bool)
+        for a, b in zip(tiles.starts, tiles.ends, strict=True):
+            found = list(tiles.pairs(a, b, threshold_pct, most_odd))
+            if sum(len(others) for _, others in found) <= b - a:
+                for i, others in found:
+                    left.append(np.full(len(others), i))
+                    right.append(others)
+            else:
+                for i, others in found:
+                    hit[i] = hit[others] = True
+        pick = lambda at: tiles.order[np.concatenate(at) if at else np.zeros(0, np.int64)]
+        pairs = table.take(pa.array(pick(left))).append_column("other", table["digest"].take(pa.array(pick(right))))
+        rows = table.take(pa.array(tiles.order[hit]))
+        return pa.concat_tables([pairs, rows.append_column("other", pa.nulls(rows.num_rows, pa.binary()))])
 
     return run
 
 
+def _confirmed(threshold_pct: int, most_odd: float):
+    """Of a batch of tiles whose rows bring their full sets: confirmed links, as many as connect each tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tiles = _Tiles(table)
+        table = table.take(pa.array(tiles.order))
+        digest, sets = table["digest"].to_pylist(), [np.asarray(x.values) for x in table["shingles"].combine_chunks()]
+        links = []
+        for a, b in zip(tiles.starts, tiles.ends, strict=True):
+            found = [(i - a, others - a) for i, others in tiles.pairs(a, b, threshold_pct, most_odd)]
+            if found:
+                links += [(a + i, a + j) for i, j in _exact_links(found, sets[a:b], np.unique(tiles.label[a:b], return_inverse=True)[1], threshold_pct)]
+        return pa.table({"a": pa.array([min(digest[i], digest[j]) for i, j in links], pa.binary()), "b": pa.array([max(digest[i], digest[j]) for i, j in links], pa.binary())})
+
+    return run
+
+
+def tiles(split: DataFrame, tile: int) -> DataFrame:
+    """(band, hash, low, high, side, digest, label): the rows of the tiles that compare, in each bucket (band, hash) of `split` (band, hash, digest, label) with
+    several labels, the classes outside its most frequent label with all others of another label. low and high name the two sides' tiles, with high counted
+    from -1 downwards for tiles of the most frequent label; a tile of others with itself has side 0 only."""
+    per = split.groupBy("band", "hash", "label").agg(F.count("*").alias("c"))
+    facts = per.groupBy("band", "hash").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("labels")).where("labels > 1")
+    facts = facts.select("band", "hash", F.col("main.label").alias("main"), F.ceil(F.col("main.c") / tile).cast("int").alias("n_main"), F.ceil((F.col("m") - F.col("main.c")) / tile).cast("int").alias("n_rest"))
+    rows = split.join(facts, ["band", "hash"]).withColumn("is_main", F.col("label") == F.col("main"))
+    own = F.pmod(F.xxhash64("digest", F.lit(1)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    at = lambda low, high, side: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(side).cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_main = F.transform(upto("n_rest"), lambda j: at(j, -1 - F.col("own"), 1))
+    against_main = F.transform(upto("n_main"), lambda j: at(F.col("own"), -1 - j, 0))
+    as_rest = F.transform(upto("n_rest"), lambda j: F.when(F.col("own") <= j, at(F.col("own"), j, 0)).otherwise(at(j, F.col("own"), 1)))
+    rows = rows.withColumn("own", own).withColumn("x", F.explode(F.when(F.col("is_main"), as_main).otherwise(F.concat(against_main, as_rest))))
+    return rows.select("band", "hash", "x.low", "x.high", "x.side", "digest", "label")
+
+
 def _ruled_in(pairs: DataFrame, classes: DataFrame, threshold_pct: int, most_odd: float) -> DataFrame:
     """The pairs whose sizes and sketches allow the similarity."""
     facts = classes.select("digest", "n", "odd")
@@ -179,7 +240,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, threshold_pct: int) -> DataFrame
     return both.where(shared * 100 >= (F.col("na") + F.col("nb") - shared) * threshold_pct).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, bands: int = 30, rows_per_band: int = 4, slack: float = 0.2, tile: int = 1024, small: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_pct: int = 80, bands: int = 30, rows_per_band: int = 4, slack: float = 0.2, tile: int = 512, batch: int = 1024) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept, class_id, component_key, text_key).
 
     Documents are linked when 100 * |intersection| >= threshold_pct * |union| of their sets of distinct `shingle`-word shingles.
@@ -204,21 +265,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = _full_sets(shared.select("digest").distinct(), classes, rows, shingle)
     links = stored(_confirm(star, sets, threshold_pct), "links")
 
-    labels = connected_components(links, "a", "b")
-    split = _bucket_components(shared, labels)
-    spread = split.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-    rest = split.join(spread.select("band", "hash", "size"), ["band", "hash"]).join(classes.select("digest", "n", "odd"), "digest")
-    own_sets = sets.select("digest", "shingles").join(rest.where(F.col("size") > small).select("digest").distinct(), "digest", "left_semi")
-    rest = rest.join(own_sets.withColumnRenamed("digest", "__d"), (F.col("digest") == F.col("__d")) & (F.col("size") > small), "left").drop("__d")
-    rest = rest.withColumn("tiles", F.ceil(F.col("size") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("tiles")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("band", "hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "digest", "label", "n", "odd", "shingles")
-    pairs = rest.groupBy("band", "hash", "low", "high").applyInArrow(_tiles(threshold_pct, most_odd), "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    pairs = stored(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not pairs.isEmpty():
-        unsure = _ruled_in(pairs.where("not sure").select("a", "b"), classes, threshold_pct, most_odd)
-        links = stored(links.unionByName(pairs.where("sure").select("a", "b")).unionByName(_confirm(unsure, sets, threshold_pct)), "links")
-        labels = connected_components(links, "a", "b")
+    labels = stored(connected_components(links, "a", "b"), "labels")
+    rest = tiles(_bucket_components(shared, labels), tile).join(classes.select("digest", F.col("n").cast("long").alias("n"), "odd"), "digest")
+    rest = rest.withColumn("label", F.xxhash64("label")).select("band", "hash", "low", "high", "side", "digest", "label", "n", *[F.col("odd")[i].alias(f"o{i}") for i in range(BITS // 64)])
+    rest = stored(rest, "tiles")
+    batched = lambda df, n: df.groupBy(F.pmod(F.xxhash64("band", "hash", "low", "high"), F.lit(n)).alias("batch"))
+    schema = T.StructType([*rest.schema.fields, T.StructField("other", T.BinaryType())])
+    hits = stored(batched(rest, 1 + rest.count() // batch).applyInArrow(_candidates(threshold_pct, most_odd), schema), "tile-candidates")
+    pairs = hits.where("other is not null").select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    found_links = _confirm(_ruled_in(pairs, classes, threshold_pct, most_odd), sets, threshold_pct)
+    weight = hits.where("other is null").agg(F.sum("n")).first()[0]
+    if weight:
+        full_rows = hits.where("other is null").drop("other").join(sets.select("digest", "shingles"), "digest")
+        found_links = found_links.unionByName(batched(full_rows, 1 + weight // (256 * batch)).applyInArrow(_confirmed(threshold_pct, most_odd), "a binary, b binary"))
+    more = stored(found_links.distinct(), "tile-links")
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), "a", "b")
 
     named = _label(classes.select("digest", "class_id"), labels)
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))

@@ -52,7 +52,7 @@ def test_against_all_pairs(spark):
     for seed, (k, pct) in ((1, (3, 85)), (2, (5, 80)), (3, (3, 85))):
         rows = corpus(seed)
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        found = near_dup.near_duplicates(df, shingle=k, threshold_pct=pct, tile=4, small=2 if seed == 3 else 16)
+        found = near_dup.near_duplicates(df, shingle=k, threshold_pct=pct, tile=2 if seed == 3 else 4, batch=5)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
         assert got == brute(rows, k, pct)
 
@@ -61,10 +61,32 @@ def test_many_similar_texts_in_one_bucket(spark):
     rng = random.Random(5)
     common = [rng.choice(WORDS) for _ in range(60)]
     rows = [(i, " ".join(common + [rng.choice(WORDS) for _ in range(12 if i % 2 else 4)])) for i in range(80)]
-    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold_pct=85, tile=16, small=3)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold_pct=85, tile=16, batch=64)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows, 3, 85)
 
 
+def test_a_giant_bucket_with_a_stray_class_stays_linear(spark):
+    for m in (200, 400, 800):
+        one = spark.range(m).select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("hash"), F.col("id").cast("string").cast("binary").alias("digest"), F.when(F.col("id") < 3, F.col("id")).otherwise(9).alias("label"))
+        found = near_dup.tiles(one, 32)
+        assert found.count() <= 3 * (m / 32 + 2) + m  # 3 strays against all tiles, and everyone once
+        assert found.groupBy("band", "hash", "low", "high").count().agg(F.max("count")).first()[0] <= 3 + 64
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(5)) for i in range(90)]
+    split = spark.createDataFrame(rows, "id long, label long").select(F.lit(0).alias("band"), F.lit(0).cast("long").alias("hash"), F.col("id").cast("string").cast("binary").alias("digest"), "label")
+    seen = set()
+    by = {}
+    for r in near_dup.tiles(split, 8).collect():
+        by.setdefault((r.low, r.high), ([], []))[r.side].append((int(r.digest), r.label))
+    for left, right in by.values():
+        pairs = [(x, y) for k, x in enumerate(left) for y in (right or left[k + 1 :]) if x[1] != y[1]]
+        new = {tuple(sorted((x[0], y[0]))) for x, y in pairs}
+        assert len(new) == len(pairs) and not new & seen  # each pair once
+        seen |= new
+    label = dict(rows)
+    assert seen == {(i, j) for i in range(90) for j in range(i + 1, 90) if label[i] != label[j]}
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
