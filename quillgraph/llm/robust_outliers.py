@@ -1,21 +1,23 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
 Each document becomes a vector of transformed statistics (log mean word length; square roots of the shares of symbols, of repeated
-lines, of words in repeated 8-word windows, of capitals, of words equal to the one before). Per group, concentration steps from a start by medians and
-quartiles seek the `share` of rows whose covariance determinant is least: distances under the current estimate, the nearest
-share of rows, their mean and covariance, and again. Documents too far from the final estimate by Mahalanobis distance are rejected.
+lines, of words in repeated 8-word windows, of capitals, of words equal to the one before). Per group, concentration steps seek the `share` of rows whose
+covariance determinant is least: distances under the current estimate, the nearest share of rows, their mean and covariance, and again until no
+group's determinant falls any more. They run from three starts (medians and quartiles; all rows; the half nearest to the first start), and the estimate with
+the least determinant is kept. Documents too far from it by Mahalanobis distance are rejected.
 
 Groups with fewer than `least_rows` usable rows take their language's estimate, small languages that of all rows; with
-fewer rows still nothing is rejected. A floor on each statistic's scale keeps statistics that are zero in nearly all
+fewer rows still nothing is rejected. Only estimates that some group takes are made. A floor on each statistic's scale keeps statistics that are zero in nearly all
 documents from making every other document an outlier. Floors bound what a statistic adds to a squared distance, by (range / floor)²: any
 statistic can pass the cut (38.26 at the default level) by itself but q_repeat, which the base rule bounds. Repeats by themselves are
 judged by the base rule (30 % of the words); under it they add at most 4.8.
 
-All of it is aggregation and equi-joins of built-in functions. A concentration step is one pass: counts and moments by (group,
+All of it is aggregation and equi-joins of built-in functions. A concentration step is one pass for all groups and starts: counts and moments by (group, start,
 distance bin), combined before the shuffle, so a group with a third of all rows costs no task more than the others; the nearest
-share is whole bins. Nothing is collected.
+share is whole bins. What is collected is one number a step.
 
-Null text counts as empty and fails the base rule. Null languages and sources are groups like others. Repeated rows count each.
+Null text counts as empty and fails the base rule. Null languages and sources are groups like others. Repeated rows count each, rows at equal distances are
+taken or left together. Texts of any length are read whole; an empty table gives an empty result. No other column is read, and columns of any names may be there.
 """
 
 from __future__ import annotations
@@ -116,75 +118,120 @@ def statistics(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.withColumn("quality", _let(raw, whole))
 
 
+def _key(level: int, lang: Column, source: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+
+
 def _keys(lang: Column, source: Column) -> list[Column]:
     """The groups that a row belongs to, the narrowest first; a key is (level, language, source)."""
     none = F.lit(None).cast("string")
-    key = lambda level, a, b: F.struct(F.lit(level).alias("level"), a.alias("lang"), b.alias("source"))
-    return [key(0, lang, source), key(1, lang, none), key(2, none, none)]
-
-
-def _same(left: str, right: str) -> Column:
-    return F.col(left).eqNullSafe(F.col(right))
+    return [_key(0, lang, source), _key(1, lang, none), _key(2, none, none)]
 
 
 def _sent(model: DataFrame, most: int = 20_000) -> DataFrame:
     """The model, to be sent to all tasks if it has at most `most` rows (a few hundred bytes each), so that no row of a hot group moves; a
-    larger one is joined by key, where no group can hold many of the rows' keys but the widest two, which adaptive joins split."""
+    larger one is joined by key, and adaptive joins split the keys that many rows have."""
     return F.broadcast(model) if model.count() <= most else model
 
 
-def _cholesky(covariance: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
-    """Columns l_i_j of the factor, to be added one after another."""
-    out = []
-    for i in range(P):
-        for j in range(i + 1):
-            rest = covariance[i, j] - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            out.append((f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}")))
-    return out
+def _wanted(rows: DataFrame, least_rows: int) -> DataFrame:
+    """(key, n): the groups whose estimate some row takes: those with least_rows rows, languages with least_rows rows that have a smaller group, and
+    the whole if there are smaller languages among these (and rows enough)."""
+    none = F.lit(None).cast("string")
+    groups = stored(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), "mcd-groups")
+    langs = groups.groupBy("lang").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where(F.col("least") < least_rows)
+    whole = groups.agg(F.sum("n").alias("n")).join(langs.agg(F.min("n").alias("least")), F.lit(True))  # one row each
+    enough = F.col("n") >= least_rows
+    out = groups.where(enough).select(_key(0, F.col("lang"), F.col("source")).alias("key"), "n")
+    out = out.unionByName(langs.where(enough).select(_key(1, F.col("lang"), none).alias("key"), "n"))
+    return out.unionByName(whole.where(enough & (F.col("least") < least_rows)).select(_key(2, none, none).alias("key"), "n"))
+
+
+# The long sums below are written as SQL text: each becomes a column by one call, where building it operator by operator costs hundreds.
+_CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
+_INVERSE = [f"w_{i}_{j}" for i, j in _CELLS]
+
+
+def _inverted(table: DataFrame, kept: list[str], covariance: dict[tuple[int, int], str]) -> DataFrame:
+    """The kept columns with w_i_j, the covariance's inverse, and log_det, the logarithm of its determinant: one sweep (a Gauss-Jordan step in place) for each
+    statistic. Each sweep is a projection of its own, so that no expression is written out within another."""
+    at = lambda i, j: f"w_{max(i, j)}_{min(i, j)}"
+    table = table.selectExpr(*kept, "0D as log_det", *[f"{covariance[i, j]} as w_{i}_{j}" for i, j in _CELLS])
+    for k in range(P):
+        swept = [f"{'-1 / pivot' if i == j == k else f'{at(i, j)} / pivot' if k in (i, j) else f'{at(i, j)} - {at(i, k)} * {at(j, k)} / pivot'} as w_{i}_{j}" for i, j in _CELLS]
+        table = table.selectExpr(*kept, "log_det", *_INVERSE, f"greatest({at(k, k)}, 1e-12D) as pivot").selectExpr(*kept, "log_det + ln(pivot) as log_det", *swept)
+    return table.selectExpr(*kept, "log_det", *[f"-{c} as {c}" for c in _INVERSE])
 
 
-def distance2(values: list[Column]) -> Column:
-    """Squared Mahalanobis distance under the model's columns m_i, s_i (start), mu_i, l_i_j (estimate)."""
-    z = [(values[i] - F.col(f"m_{i}")) / F.col(f"s_{i}") - F.col(f"mu_{i}") for i in range(P)]
-    solved: list[Column] = []
-    for i in range(P):
-        solved.append((z[i] - sum((F.col(f"l_{i}_{k}") * solved[k] for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}"))
-    return sum((y * y for y in solved), F.lit(0.0))
+def distance2() -> Column:
+    """Squared Mahalanobis distance of the statistics' columns under the model's columns m_i, s_i (scaling), mu_i, w_i_j (inverse covariance): one flat sum
+    over pairs of statistics."""
+    z = ", ".join(f"({s} - m_{i}) / s_{i} - mu_{i}" for i, s in enumerate(STATS))
+    terms = " + ".join(f"{1 if i == j else 2} * w_{i}_{j} * z[{i}] * z[{j}]" for i, j in _CELLS)
+    return F.expr(f"transform(array(array({z})), z -> {terms})[0]")
 
 
-def fit(stats: DataFrame, *, share: float = 0.75, steps: int = 4, least_rows: int = 60) -> DataFrame:
-    """The model: a row for each group with least_rows usable rows; stats has lang, source, base_failed and the statistics."""
-    rows = stats.where("not base_failed").select(F.explode(F.array(*_keys(F.col("lang"), F.col("source")))).alias("key"), *STATS)
-    many = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
+def _scaling(rows: DataFrame) -> DataFrame:
+    """(key, m_i, s_i): medians and scales by quartiles, from counts of narrow bins; no scale is under its floor."""
     long = rows.select("key", F.posexplode(F.array(*[F.floor(F.col(s) / _BIN).cast("int") for s in STATS])).alias("i", "bin"))
     counts = long.groupBy("key", "i", "bin").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("key", "i").orderBy("bin")
-    ranked = counts.withColumn("upto", F.sum("c").over(order)).withColumn("all", F.sum("c").over(Window.partitionBy("key", "i")))
+    ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("key", "i").orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy("key", "i")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), (F.col("bin") + 0.5) * _BIN))
     quartiles = ranked.groupBy("key", "i").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     of = lambda i, x: F.max(F.when(F.col("i") == i, x))
+    return quartiles.groupBy("key").agg(*[of(i, F.col("q2")).alias(f"m_{i}") for i in range(P)], *[of(i, F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(floor))).alias(f"s_{i}") for i, floor in enumerate(FLOORS.values())])
+
+
+_BASE = ["n", *[f"{c}_{i}" for c in "ms" for i in range(P)]]
+_MEANS = [f"mu_{i}" for i in range(P)]
+
+
+def _firsts() -> list[Column]:
+    return [F.expr(f"first({c}) as {c}") for c in _BASE]
+
+
+def _binned(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, start, bin, before, c, moments, base): counts and sums of the rows under each estimate, by bins of distance."""
+    named = rows.withColumnRenamed("key", "row_key").join(_sent(model), F.col("row_key") == F.col("key"))
+    each = named.select("key", "start", *_BASE, F.floor(F.log1p(distance2()) * _DISTANCE_BIN).cast("int").alias("bin"), *[F.expr(f"({s} - m_{i}) / s_{i} as z_{i}") for i, s in enumerate(STATS)])
+    sums = [F.count("*").alias("c"), *[F.expr(f"sum(z_{i}) as a_{i}") for i in range(P)], *[F.expr(f"sum(z_{i} * z_{j}) as b_{i}_{j}") for i, j in _CELLS]]
+    cut = each.groupBy("key", "start", "bin").agg(*_firsts(), *sums)
+    return cut.withColumn("before", F.sum("c").over(Window.partitionBy("key", "start").orderBy("bin")) - F.col("c"))
+
+
+def _estimate(binned: DataFrame, share: float) -> DataFrame:
+    """The model from the nearest share of each group: mean, covariance made consistent, its inverse. No scale is under the statistic's floor."""
+    near = binned.where(F.col("before") < F.col("n") * share)
+    moments = [f"a_{i}" for i in range(P)] + [f"b_{i}_{j}" for i, j in _CELLS]
+    total = near.groupBy("key", "start").agg(*_firsts(), *[F.expr(f"sum({c}) as {c}") for c in ("c", *moments)])
+    kept = ["key", "start", *_BASE, *_MEANS]
+    total = total.selectExpr("key", "start", *_BASE, *[f"a_{i} / c as mu_{i}" for i in range(P)], *[f"b_{i}_{j} / c as b_{i}_{j}" for i, j in _CELLS])
+    grow = share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1.0  # the consistency factor of the nearest share's covariance
     floors = list(FLOORS.values())
-    start = quartiles.groupBy("key").agg(*[of(i, F.col("q2")).alias(f"m_{i}") for i in range(P)], *[of(i, F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(floors[i]))).alias(f"s_{i}") for i in range(P)])
-    model = start.join(many, "key").select("*", *[F.lit(0.0).alias(f"mu_{i}") for i in range(P)], *[F.lit(1.0 if i == j else 0.0).alias(f"l_{i}_{j}") for i in range(P) for j in range(i + 1)])
-    model = stored(model, "mcd")
-    cells = [(i, j) for i in range(P) for j in range(i + 1)]
-    grow = share / chi2_cdf(chi2_quantile(share, P), P + 2)  # the consistency factor of the nearest share's covariance
-    base = [c for c in model.columns if c == "n" or c[:2] in ("m_", "s_")]
-    for _ in range(steps):
-        named = rows.withColumnRenamed("key", "row_key").join(_sent(model), F.col("row_key") == F.col("key"))
-        binned = named.select("key", *base, F.floor(F.log1p(distance2([F.col(s) for s in STATS])) * _DISTANCE_BIN).cast("int").alias("bin"), *[((F.col(s) - F.col(f"m_{i}")) / F.col(f"s_{i}")).alias(f"z_{i}") for i, s in enumerate(STATS)])
-        sums = [F.count("*").alias("c"), *[F.sum(f"z_{i}").alias(f"a_{i}") for i in range(P)], *[F.sum(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"b_{i}_{j}") for i, j in cells]]
-        cut = binned.groupBy("key", "bin").agg(*[F.first(c).alias(c) for c in base], *sums)
-        upto = F.sum("c").over(Window.partitionBy("key").orderBy("bin"))
-        near = cut.withColumn("before", upto - F.col("c")).where(F.col("before") < F.col("n") * share)
-        total = near.groupBy("key").agg(*[F.first(c).alias(c) for c in base], F.sum("c").alias("c"), *[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(P)], *[F.sum(f"b_{i}_{j}").alias(f"b_{i}_{j}") for i, j in cells])
-        total = total.select("key", *base, "c", *[(F.col(f"a_{i}") / F.col("c")).alias(f"mu_{i}") for i in range(P)], *[(F.col(f"b_{i}_{j}") / F.col("c")).alias(f"b_{i}_{j}") for i, j in cells])
-        covariance = {(i, j): (F.col(f"b_{i}_{j}") - F.col(f"mu_{i}") * F.col(f"mu_{j}")) * grow for i, j in cells}
-        for i in range(P):  # no scale under the statistic's floor
-            covariance[i, i] = covariance[i, i] + F.pow(F.lit(floors[i]) / F.col(f"s_{i}"), F.lit(2.0))
-        for name, column in _cholesky(covariance):
-            total = total.withColumn(name, column)
-        model = stored(total.select("key", *base, *[f"mu_{i}" for i in range(P)], *[f"l_{i}_{j}" for i, j in cells]), "mcd")
+    covariance = {(i, j): f"(b_{i}_{j} - mu_{i} * mu_{j}) * {grow!r}D" + (f" + pow({floors[i]!r}D / s_{i}, 2)" if i == j else "") for i, j in _CELLS}
+    return _inverted(total, kept, covariance)
+
+
+def fit(stats: DataFrame, *, share: float = 0.75, trial_steps: int = 2, most_steps: int = 10, least_rows: int = 60) -> DataFrame:
+    """The model: a row for each group that _wanted() names; stats has lang, source, base_failed and the statistics. After trial_steps each group
+    goes on with its start of least determinant, until no group's determinant falls by a hundredth any more, most_steps at the latest."""
+    rows = stats.where("not base_failed")
+    many = stored(_wanted(rows, least_rows), "mcd-wanted")
+    rows = rows.select(F.explode(F.array(*_keys(F.col("lang"), F.col("source")))).alias("row_key"), *STATS).join(_sent(many), F.col("row_key") == F.col("key")).select("key", *STATS)
+    first = _scaling(rows).join(many, "key").select("key", F.lit(0).alias("start"), *_BASE, *[F.lit(0.0).alias(c) for c in _MEANS], *[F.lit(1.0 if i == j else 0.0).alias(f"w_{i}_{j}") for i, j in _CELLS])
+    binned = stored(_binned(rows, stored(first, "mcd")), "mcd-bins")
+    starts = [_estimate(binned, part).withColumn("start", F.lit(k)) for k, part in enumerate((share, 1.0, 0.5))]
+    model = stored(starts[0].unionByName(starts[1]).unionByName(starts[2]), "mcd")
+    for _ in range(trial_steps):
+        model = stored(_estimate(_binned(rows, model), share), "mcd")
+    best = model.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("x")).select(F.col("key").alias("k"), F.col("x.start").alias("s"))
+    model = stored(model.join(best, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s"))).drop("k", "s"), "mcd")
+    for _ in range(most_steps):
+        after = stored(_estimate(_binned(rows, model), share), "mcd")
+        falls = after.join(model.select("key", F.col("log_det").alias("was")), "key").agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
+        model = after
+        if falls is None or falls < 1e-2:
+            break
     return model
 
 
@@ -198,7 +245,7 @@ def judge(stats: DataFrame, model: DataFrame, *, level: float = 1e-6) -> DataFra
     key = F.when(F.col("__has0"), keys[0]).when(F.col("__has1"), keys[1]).otherwise(keys[2])
     own = model.withColumnRenamed("key", "__h")
     out = out.withColumn("__k", key).join(own, F.col("__k") == F.col("__h"), "left")
-    d2 = distance2([F.col(s) for s in STATS])
+    d2 = F.when(F.col("__h").isNotNull(), distance2())
     kept = ~F.col("base_failed") & (F.col("__h").isNull() | (d2 <= chi2_quantile(1 - level, P)))
     return out.withColumn("distance2", d2).withColumn("kept", kept).select(*stats.columns, "distance2", "kept")
 

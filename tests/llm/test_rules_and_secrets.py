@@ -73,23 +73,43 @@ def test_one_outlier_of_each_statistic_goes(spark):
         assert not got[s].kept and got[s].base_failed == (s == "q_repeat"), (s, got[s])
 
 
-def test_distance_and_steps_against_numpy(spark):
-    docs = sample(spark, 400, 1).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
-    stats = R.assess(docs, steps=6, least_rows=30).toPandas()
-    x = stats[R.STATS].to_numpy()
+def mcd(x, share=0.75):
+    """The same search in numpy, with single rows where the operator takes whole bins: (distances, log determinant)."""
     med, q = np.median(x, axis=0), np.percentile(x, [25, 75], axis=0)
     s = np.maximum((q[1] - q[0]) / 1.349, list(R.FLOORS.values()))
     z = (x - med) / s
     floor = np.diag((np.array(list(R.FLOORS.values())) / s) ** 2)
-    mean, cov = np.zeros(R.P), np.eye(R.P)
-    grow = 0.75 / R.chi2_cdf(R.chi2_quantile(0.75, R.P), R.P + 2)
-    for _ in range(6):
-        d = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
-        near = z[np.argsort(d, kind="stable")[: int(0.75 * len(z))]]
-        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * grow + floor
-    d = np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
+
+    def step(d, part):
+        near = z[np.argsort(d, kind="stable")[: int(part * len(z))]]
+        grow = part / R.chi2_cdf(R.chi2_quantile(part, R.P), R.P + 2) if part < 1 else 1.0
+        return near.mean(axis=0), np.cov(near.T, bias=True) * grow + floor
+
+    best = None
+    for part in (share, 1.0, 0.5):
+        mean, cov = step((z**2).sum(axis=1), part)
+        for _ in range(20):
+            mean, cov = step(np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean), share)
+        found = np.linalg.slogdet(cov)[1], np.einsum("ij,jk,ik->i", z - mean, np.linalg.inv(cov), z - mean)
+        best = found if best is None or found[0] < best[0] else best
+    return best[1], best[0]
+
+
+def test_distance_and_determinant_against_numpy(spark):
+    docs = sample(spark, 400, 1).withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    stats = R.assess(docs, least_rows=30).toPandas()
+    d, log_det = mcd(stats[R.STATS].to_numpy())
     assert np.corrcoef(np.log1p(d), np.log1p(stats.distance2))[0, 1] > 0.99
-    assert np.linalg.det(cov) < 10 * np.linalg.det(np.cov(z.T) + floor)
+    rows = R.statistics(docs).select("lang", "source", "quality.*")
+    model = R.fit(rows, least_rows=30).collect()
+    assert len(model) == 1 and abs(model[0].log_det - log_det) < 0.3
+
+
+def test_only_estimates_that_are_taken_are_made(spark):
+    rows = spark.createDataFrame([("en", "a")] * 70 + [("en", "b")] * 5 + [("de", "a")] * 80 + [("fr", "c")] * 9 + [(None, None)] * 65, "lang string, source string")
+    got = {(r.key.level, r.key.lang, r.key.source): r.n for r in R._wanted(rows, 60).collect()}
+    assert got == {(0, "en", "a"): 70, (0, "de", "a"): 80, (0, None, None): 65, (1, "en", None): 75, (2, None, None): 229}
+    assert R._wanted(rows.where("lang = 'de'"), 60).count() == 1 and R._wanted(rows.limit(0), 60).count() == 0
 
 
 def test_rules_on_odd_rows(spark, odd_rows):
@@ -136,6 +156,28 @@ def test_base_spans(spark):
         assert [x for x in r.spans.split(",") if x.split(":")[0] in ("assign", "access", "hex")] == (want or [])
 
 
+def test_linking_against_all_pairs_of_parts(spark):
+    import random
+
+    rng = random.Random(8)
+    part = {"identifier": "weak_identifier", "secret": "weak_secret", "endpoint": "endpoint"}
+    rows = []
+    for key in range(30):
+        for _ in range(rng.randrange(1, 25)):
+            at = rng.randrange(0, 900)
+            kind = rng.choice(list(part))
+            strong = rng.random() < 0.2 and kind != "endpoint"
+            rows.append((str(key), {"identifier": "access", "secret": "assign"}[kind] if strong else part[kind], kind, strong, at, at + rng.randrange(1, 60)))
+    found = spark.createDataFrame(rows, "key string, kind string, part string, strong boolean, start int, end int")
+    want = set()
+    for k, kind, p, strong, s, e in rows:
+        near = {q for k2, _, q, _, s2, e2 in rows if k2 == k and q != p and (e2 <= s or s2 >= e) and max(s - e2, s2 - e) <= 100}
+        good = "secret" in near if p == "identifier" else bool(near) if p == "secret" else {"identifier", "secret"} <= near
+        if not strong and good:
+            want.add((k, kind, s, e))
+    assert {tuple(r) for r in secrets.linked(found, 100).collect()} == want and len(want) > 50
+
+
 def linked(spark, text):
     return [x.split(":")[0] for x in secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().spans.split(",") if x]
 
