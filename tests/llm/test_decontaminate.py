@@ -59,3 +59,14 @@ def test_odd_rows_and_clean(spark, odd_rows):
     assert kept.count() == odd_rows.count() - 1 and kept.where("doc_id = 1").count() == 0 and kept.columns[-1] == "start"
     assert wu_manber.clean(odd_rows, bench.limit(0)).count() == odd_rows.count()
     assert wu_manber.clean(odd_rows.limit(0), bench).count() == 0
+
+
+def test_columns_named_like_the_results(spark, odd_rows):
+    bench = spark.createDataFrame([(1, "the lazy dog and runs away from the very big bad"), (7, "one")], "item_id long, text string")
+    docs = odd_rows.withColumns({"decon_items": F.array(F.lit("x")), "decon_spans": F.lit(3), "__wm_items": F.array(F.lit("mine")), "__wm_words": F.lit("w")})
+    for block in (1 << 20, 10):
+        out = wu_manber.scan(docs, bench, block_bytes=block)
+        assert out.columns == [c for c in docs.columns if not c.startswith("decon")] + ["decon_n_words", "decon_spans", "decon_items"]
+        got = {r.doc_id: r for r in out.where("doc_id in (1, 5)").collect()}
+        assert got[1].decon_items == ["1"] and got[5].decon_items == ["7"] and got[5]["__wm_items"] == ["mine"] and out.where("size(decon_items) > 0").count() == 3
+        assert wu_manber.clean(docs, bench).columns == docs.columns
