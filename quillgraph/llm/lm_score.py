@@ -12,7 +12,8 @@ crown. (3) Per part, every gram's log probability is found top-down and sent bac
 a task holds one block, or one part of the grams.
 
 Null and empty texts have one token, the end. Repeated rows are scored each; a document's id only decides its part in
-training. Without training rows every byte costs what the untrained tree gives. Columns other than id and text are ignored.
+training. Without training rows every byte costs what the untrained tree gives. Columns other than id and text are ignored, whatever their names. Texts of any
+length are scored whole; an empty table gives an empty result. There are no ties to break: a score depends on the text and the training rows alone.
 """
 
 from __future__ import annotations

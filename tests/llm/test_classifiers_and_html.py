@@ -37,6 +37,69 @@ def test_segments_are_the_maximal_ones():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_expected_numbers_are_calibrated_on_random_texts():
+    rng = np.random.default_rng(6)
+    words, p, s = [b"a", b"b", b"c", b"-"], [0.02, 0.03, 0.05, 0.9], [4.0, 2.5, -1.0]
+    model = toxicity.Model(lexicon=dict(zip(words, s, strict=False)), drift=-0.3, significant=1e9)
+    model.rate = toxicity._rate(np.array([*s, -0.3]), np.array(p))
+    assert abs(sum(q * np.exp(model.rate * x) for q, x in zip(p, [*s, -0.3], strict=True)) - 1) < 1e-6
+
+    def texts(n):
+        return [[words[i] for i in rng.choice(4, rng.integers(50, 400), p=p)] for _ in range(n)]
+
+    seen = texts(1500)
+    best = [max((x for *_, x in toxicity.maximal_segments([(i, model.lexicon[w]) for i, w in enumerate(t) if w in model.lexicon], -0.3)), default=0.0) for t in seen]
+    model.k = toxicity.likeliest_k(np.array([len(t) for t in seen], float), np.array(best), model.rate)
+    least = np.array([min((np.exp(e) for *_, e in toxicity.passages(model, t)), default=np.inf) for t in texts(1500)])
+    for e in (0.02, 0.1, 0.5):
+        assert abs((least < e).mean() - (1 - np.exp(-e))) < 0.35 * e + 0.01, (e, (least < e).mean())
+    gumbel = rng.gumbel(size=20_000)  # scores whose law has K = 0.1 for n = 300 and rate 1
+    assert abs(toxicity.likeliest_k(np.full(20_000, 300.0), gumbel + np.log(30), 1.0) - 0.1) < 0.005
+
+
+def test_log_odds_by_hand(spark):
+    import math
+
+    rows = {"x": (3, 40), "y": (50, 2), "z": (10, 10)}
+    got = {r.token: r for r in toxicity.log_odds(spark.createDataFrame([(w, *c) for w, c in rows.items()], "token string, clean long, toxic long"), 20.0, 0.5).collect()}
+    for w, (c, t) in rows.items():
+        a = (c + t) * 20 / 115 + 0.5
+        odds = math.log((t + a) / (52 + 20 + 0.5 - t)) - math.log((c + a) / (63 + 20 + 0.5 - c))
+        assert got[w].odds == pytest.approx(odds) and got[w].z == pytest.approx(odds / math.sqrt(1 / (t + a) + 1 / (c + a)))
+
+
+def test_preferences_are_fitted_and_cut_at_the_quantile(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    good = (x @ [2.0, -1.0, 0.0] + rng.logistic(size=400) > 0).astype(int)
+    table = {f"t{i}".encode(): x[i] for i in range(400)}
+    monkeypatch.setattr(quality_rank, "features", lambda texts: np.array([table.get(t, np.zeros(3)) for t in texts]))
+    found = __import__("pandas").DataFrame({"y": good, "x": list(x)})
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, *_):
+            return self
+
+        def toPandas(self):
+            return found
+
+    monkeypatch.setattr(quality_rank, "sample", lambda *a, **k: (Rows(), {0: int((good == 0).sum()), 1: int(good.sum())}))
+    docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
+    model = quality_rank.fit(docs, labels, F.lit(True), pairs=4000, ridge=1e-6)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    a, b = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    d = (z[a][:, None] - z[b][None]).reshape(-1, 3)  # all pairs, by plain gradient steps
+    w = np.zeros(3)
+    for _ in range(3000):
+        w += 2 * (d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(axis=0)
+    assert np.dot(w, model.weights) / np.linalg.norm(w) / np.linalg.norm(model.weights) > 0.99 and abs(np.linalg.norm(model.weights) / np.linalg.norm(w) - 1) < 0.2
+    share = (model.score(x) >= 0.5).mean()
+    assert abs(share - good.mean()) <= 0.01  # as many above the threshold as are good
+
+
 def held_out(spark, f, label, parts, rest):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = f.fit(docs, labels, ~crc_share(F.col("doc"), parts, rest))
@@ -100,6 +163,12 @@ def test_features_do_not_depend_on_the_batch():
         ('<a title="x>y" href=z>k</a>', "k"),
         ("<textarea> <b> </textarea>", "<b>"),
         ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+        ("<ol start=2003><li>a<li value=-5>b<li>c</ol>", "2003. a\n-5. b\n-4. c"),
+        ("<div style='visibility:hidden'>a <b style='visibility: visible'>b</b> c<p style=visibility:visible>d</div>", "b\n\nd"),
+        ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  b  c\n   d  e\nf  g  h"),
+        ("<font>" * 300 + "<table><tr><td>a<td>b<tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("<table><tr><td>a<table><tr><td>i<tr><td>j</table><td>b<tr><td>c</table>", "a\n\ni   b\nj\nc".replace("a\n\ni   b\nj", "a  b\n\ni\nj")),
+        ("<table><thead><tr><th>k<tbody><tr><td>v</table>", "k\nv"),
     ],
 )
 def test_layout(html, text):
@@ -117,6 +186,7 @@ def test_layout(html, text):
         ("<math><semantics><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation encoding=tex>frac</annotation></semantics></math>.", "1 2 ."),
         ("a<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><rect/><g>no<text x=1>North</text><text>South</text></g></svg>b", "a North South b"),
         ("<svg><style/><text>k<tspan>m</tspan></text></svg><desc>n</desc>", "km n"),
+        ("<table><tr><td colspan=99999999>wide<tr><td>x<td>y</table>", "wide\nx  y"),
         ("<map name=m><p>plan <a href=x>door</a><area></map>", "plan door"),
         ("in <select><option>red<option selected>green<option>blue</select>now", "in green now"),
         ("<select><option disabled>pick<optgroup label=g><option>one</optgroup><option>two</select>", "one"),
@@ -163,8 +233,14 @@ def test_all_visible_words_in_order(spark):
 
 
 def test_html_edges(spark):
+    import time
+
+    began = time.time()
+    for tag in ("div", "b", "li", "td", "p", "font", "table", "svg"):
+        assert render(f"<{tag}>" * 30_000 + "deep").replace("- ", "").strip() in ("deep", "")
+    assert render("<div>" * 100_000 + "x" + "</div>" * 100_000) == "x" and time.time() - began < 60
     assert render("<div>" * 5000 + "deep") == "deep" and render("<b>" * 5000 + "x") == "x"
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>" + "a b " * 100_000), (2, "u", "<p>x"), (2, "u", "<p>x")]
-    got = html_layout.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = html_layout.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(1), "text": F.lit("t")})).collect()
     assert [r.text for r in got][:2] == [None, ""] and len(got) == 5
     assert html_layout.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
