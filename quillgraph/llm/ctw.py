@@ -11,8 +11,9 @@ with Pe the Krichevsky-Trofimov probability of the node's zeros and ones. The pr
 path's depths with weights ``w = 1/2 Pe / Pw``. A context not met in training ends the path: the remaining
 weight goes to the deepest one that was met, so every decision's two probabilities sum to one.
 
-The tree is cut at depth ``root``: the subtrees below are handled independently of each other (``Subtrees``), the rest,
-at most 256**root rows, in one place (``crown``).
+The tree is cut into storeys. Below a cut, the subtrees are handled independently of each other (``subtree_sums``, ``gram_scores``);
+between two cuts likewise, with what lies below given as sums (``subtree_sums`` again, ``storey``); the top, at most 256**root
+rows, in one place (``crown``).
 """
 
 from __future__ import annotations
@@ -149,14 +150,14 @@ def descend(levels: Levels, found: dict, start: tuple[np.ndarray, np.ndarray, np
     return sure, left, kt
 
 
-def subtree_sums(keys: np.ndarray, counts: np.ndarray, depth: int, root: int):
+def subtree_sums(keys: np.ndarray, counts: np.ndarray, depth: int, root: int, below: np.ndarray | None = None):
     """Below the cut: (context, byte) rows of depth root - 1, their counts, and for each of the eight decisions the sum of
-    ln Pw of the subtrees' roots. Sums over disjoint sets of subtrees add up."""
+    ln Pw of the subtrees' roots. Sums over disjoint sets of subtrees add up. below: the sums of a cut at depth + 1, if there is one."""
     levels = Levels(keys, counts, root, depth)
     rows, up = np.unique(levels.keys[root] & mask(root - 1), return_inverse=True)
     sums = np.empty((8, len(rows)))
     for i in range(8):
-        sums[i] = np.bincount(up, weigh(levels, i)[1], len(rows))
+        sums[i] = np.bincount(up, weigh(levels, i, None if below is None else below[i])[1], len(rows))
     return rows, np.bincount(up, levels.counts[root], len(rows)).astype(np.int64), sums
 
 
@@ -170,6 +171,16 @@ def crown(rows: np.ndarray, counts: np.ndarray, sums: np.ndarray, root: int):
     return out
 
 
+def storey(rows: np.ndarray, counts: np.ndarray, sums: np.ndarray, high: int, low: int, above: np.ndarray, top: np.ndarray):
+    """Depths low to high, between two cuts: what crown gives, for rows of depth high, from what it (or a storey) gives for the rows above."""
+    levels, out = Levels(rows, counts, low, high), np.empty((3, 8, len(rows)))
+    at = np.searchsorted(above, levels.keys[low] & mask(low - 1))
+    for i in range(8):
+        found, _ = weigh(levels, i, sums[i])
+        out[:, i] = descend(levels, found, tuple(top[k, i][at] for k in range(3)))
+    return out
+
+
 def gram_scores(keys: np.ndarray, counts: np.ndarray, depth: int, root: int, rows: np.ndarray, top: np.ndarray) -> np.ndarray:
     """log10 of the probability of each gram's byte after its context."""
     levels, out = Levels(keys, counts, root, depth), np.zeros(len(keys))

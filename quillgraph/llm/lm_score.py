@@ -5,11 +5,13 @@ log10 probability of the document's sequence of words and end, comparable with t
 
 How it runs. (1) Each scan task packs its documents into blocks of `block_bytes`; a block holds its documents, its
 distinct grams and its distinct words with their training counts, the two latter dealt over parts by a hash. They are
-written once to the shared folder. (2) Per part, the grams of all blocks are merged and the context subtrees below
-depth `root` weighed bottom-up; their sums, at most 256**root rows, meet in the driver, which weighs the tree's
-crown. (3) Per part, every gram's log probability is found top-down and sent back to just the blocks that hold that gram.
+written once to the shared folder. (2) Grams are dealt by their `cut` bytes of context, so even " the" is a small share of a part.
+Per part, the grams of all blocks are merged and the subtrees below depth `cut` weighed bottom-up. Their sums are written, dealt by
+`root` bytes of context, and the storey between the cuts weighed likewise, of which a context has at most 256**(cut - root) rows a byte;
+its sums, at most 256**root rows, meet in the driver, which weighs the tree's crown. (3) Top-down, the crown's answers go to the storey,
+the storey's to the parts that hold its rows, and every gram's log probability to just the blocks that hold that gram.
 (4) Each block scores its documents with what it got. No table that grows with the corpus is broadcast or collected;
-a task holds one block, or one part of the grams.
+a task holds one block, one part of the grams, or one part of the storey.
 
 Null and empty texts have one token, the end. Repeated rows are scored each; a document's id only decides its part in
 training. Without training rows every byte costs what the untrained tree gives. Columns other than id and text are ignored, whatever their names. Texts of any
@@ -38,6 +40,7 @@ END = b"\n"
 UNKNOWN = -1.0  # log10(0 + 0.1)
 SLICE = 2 << 20
 _BLOCKS = "block string, part int, kind string, payload binary"
+_SUMS = "kind string, origin int, part int, payload binary"
 
 
 class Lookup:
@@ -80,8 +83,8 @@ def _coded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return ctw.grams(flat, depth)[keep], sizes
 
 
-def _gram_part(keys: np.ndarray, root: int, parts: int) -> np.ndarray:
-    context = (keys >> np.uint64(8)) & ctw.mask(root - 1)
+def _gram_part(keys: np.ndarray, length: int, parts: int) -> np.ndarray:
+    context = (keys >> np.uint64(8)) & ctw.mask(length - 1)
     return (((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
@@ -96,8 +99,8 @@ def _keys(table: pa.Table) -> np.ndarray:
 class _Block:
     """Documents of one block with their distinct grams and words."""
 
-    def __init__(self, depth: int, root: int, parts: int):
-        self.depth, self.root, self.parts = depth, root, parts
+    def __init__(self, depth: int, cut: int, parts: int):
+        self.depth, self.cut, self.parts = depth, cut, parts
         self.rows: list[pa.Table] = []
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter = Counter()
@@ -137,7 +140,7 @@ class _Block:
 
         yield row(-1, "documents", pa.concat_tables(self.rows).combine_chunks())
         keys, counts = ctw.merged(*map(np.concatenate, zip(*self.grams, strict=True)))
-        part = _gram_part(keys, self.root, self.parts)
+        part = _gram_part(keys, self.cut, self.parts)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(ends)):
@@ -163,9 +166,9 @@ def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def _make_blocks(depth: int, root: int, parts: int, block_bytes: int):
+def _make_blocks(depth: int, cut: int, parts: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, block, n = TaskContext.get().partitionId(), _Block(depth, root, parts), 0
+        task, block, n = TaskContext.get().partitionId(), _Block(depth, cut, parts), 0
         for batch in batches:
             texts, held, a, size = text_bytes(batch.column("text")), batch.column("held").to_pylist(), 0, 0
             for b, x in enumerate(texts, 1):
@@ -175,7 +178,7 @@ def _make_blocks(depth: int, root: int, parts: int, block_bytes: int):
                     a, size = b, 0
                 if block.size >= block_bytes:
                     yield from block.emit(f"{task}-{n}")
-                    block, n = _Block(depth, root, parts), n + 1
+                    block, n = _Block(depth, cut, parts), n + 1
         if block.rows:
             yield from block.emit(f"{task}-{n}")
 
@@ -200,36 +203,82 @@ def _word_counts(payloads: list[bytes]) -> tuple[Counter, list[list[bytes]]]:
     return counts, own
 
 
-def _sum_part(depth: int, root: int):
+def _summed(payloads: list[bytes]):
+    """Rows of a cut with their counts and eight sums, those of all payloads added up, and each payload's rows."""
+    tables = [unpack(x) for x in payloads]
+    columns = [c for c in tables[0].column_names if c != "row"]
+    found = pa.concat_tables(tables).group_by("row").aggregate([(c, "sum") for c in columns]).sort_by("row")
+    return found["row"].to_numpy(), found["n_sum"].to_numpy(), np.array([found[f"s{i}_sum"].to_numpy() for i in range(8)]), [t["row"].to_numpy() for t in tables]
+
+
+def _sums_table(rows: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.Table:
+    return pa.table({"row": rows, "n": n, **{f"s{i}": sums[i] for i in range(8)}})
+
+
+def _sum_part(depth: int, cut: int, root: int, middles: int):
+    """A part's sums at the lower cut, dealt over the storey's parts; of words the number and the distinct ones."""
+
     def run(table: pa.Table) -> pa.Table:
-        kind, part, payloads = table["kind"][0].as_py(), table["part"][0].as_py(), table["payload"].to_pylist()
+        kind, origin, payloads = table["kind"][0].as_py(), table["part"][0].as_py(), table["payload"].to_pylist()
         if kind == "grams":
             keys, counts, _ = _all_grams(payloads)
-            rows, n, sums = ctw.subtree_sums(keys, counts, depth, root)
-            found = pa.table({"row": rows, "n": n, **{f"s{i}": sums[i] for i in range(8)}})
+            rows, n, sums = ctw.subtree_sums(keys, counts, depth, cut)
+            part = _gram_part(rows, root, middles)
+            found = {p: _sums_table(rows[part == p], n[part == p], sums[:, part == p]) for p in np.unique(part).tolist()}
         else:
             counts, _ = _word_counts(payloads)
-            found = pa.table({"total": [sum(counts.values())], "distinct": [sum(n > 0 for n in counts.values())]})
+            found = {origin % middles: pa.table({"total": [sum(counts.values())], "distinct": [sum(n > 0 for n in counts.values())]})}
+        return pa.table({"kind": [kind] * len(found), "origin": pa.array([origin] * len(found), pa.int32()), "part": pa.array(found, pa.int32()), "payload": pa.array(map(pack, found.values()), pa.binary())})
+
+    return run
+
+
+def _storey_sums(cut: int, root: int):
+    def run(table: pa.Table) -> pa.Table:
+        kind, part, payloads = table["kind"][0].as_py(), table["part"][0].as_py(), table["payload"].to_pylist()
+        if kind == "grams":
+            rows, n, sums, _ = _summed(payloads)
+            found = _sums_table(*ctw.subtree_sums(rows, n, cut - 1, root, sums))
+        else:
+            found = pa.concat_tables(map(unpack, payloads))
         return pa.table({"kind": [kind], "part": pa.array([part % 32], pa.int32()), "payload": pa.array([pack(found)], pa.binary())})
 
     return run
 
 
 def _join_sums(table: pa.Table) -> pa.Table:
-    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-    found = pa.concat_tables([unpack(x) for x in table["payload"].to_pylist()])
+    kind, part, payloads = table["kind"][0].as_py(), table["part"][0].as_py(), table["payload"].to_pylist()
     if kind == "grams":
-        found = found.group_by("row").aggregate([(c, "sum") for c in found.column_names[1:]])
-        found = found.rename_columns([c.removesuffix("_sum") for c in found.column_names])
+        found = _sums_table(*_summed(payloads)[:3])
+    else:
+        found = pa.concat_tables(map(unpack, payloads))
+        found = pa.table({c: [sum(found[c].to_pylist())] for c in found.column_names})
     return pa.table({"kind": [kind], "part": pa.array([part], pa.int32()), "payload": pa.array([pack(found)], pa.binary())})
 
 
-def _answer_part(depth: int, root: int, rows: np.ndarray, top: np.ndarray):
+def _answer_storey(cut: int, root: int, above: np.ndarray, top: np.ndarray):
+    """For each part that holds rows of the storey, what the depths above the lower cut give for them."""
+
     def run(table: pa.Table) -> pa.Table:
+        rows, n, sums, own = _summed(table["payload"].to_pylist())
+        given = ctw.storey(rows, n, sums, cut - 1, root, above, top).reshape(24, -1).astype(np.float32)
+        answers = []
+        for some in own:
+            at = np.searchsorted(rows, some)
+            answers.append(pack(pa.table({"row": some, **{f"a{i}": given[i, at] for i in range(24)}})))
+        return pa.table({"kind": table["kind"], "part": table["origin"], "payload": pa.array(answers, pa.binary())})
+
+    return run
+
+
+def _answer_part(depth: int, cut: int):
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
         kind, payloads = table["kind"][0].as_py(), table["payload"].to_pylist()
         if kind == "grams":
             keys, counts, own = _all_grams(payloads)
-            scores = ctw.gram_scores(keys, counts, depth, root, rows, top).astype(np.float32)
+            above = pa.concat_tables(map(unpack, told["payload"].to_pylist())).sort_by("row")
+            top = np.array([above[f"a{i}"].to_numpy() for i in range(24)], float).reshape(3, 8, -1)
+            scores = ctw.gram_scores(keys, counts, depth, cut, above["row"].to_numpy(), top).astype(np.float32)
             answers = [pack(_keys_table(x, score=scores[np.searchsorted(keys, x)])) for x in own]
         else:
             counts, own = _word_counts(payloads)
@@ -274,32 +323,39 @@ def _score_block(depth: int, total: int, distinct: int, schema: pa.Schema):
     return run
 
 
-def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, root: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, cut: int = 4, root: int = 2, block_bytes: int = 16 << 20) -> DataFrame:
     """Learn from the rows that held_out does not mark, and score all of them.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): base_score is the smoothed
-    unigram's log10 probability, score the context-tree model's. depth is the longest context in bytes (at most 7), and
-    block_bytes of coded text bound what one task holds.
+    unigram's log10 probability, score the context-tree model's. depth is the longest context in bytes (3 to 7), root < cut <= depth
+    where the tree is cut (a cut beyond the depth is moved there; results do not depend on it), and block_bytes of coded text bound what one task holds.
     """
+    cut = min(cut, depth)
+    if not 0 < root < cut <= depth <= 7:
+        raise ValueError("0 < root < cut <= depth <= 7 must hold")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     total_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + total_bytes // block_bytes
+    middles = 1 + parts // 16
     path = scratch(spark, "ctw-blocks")
-    rows.mapInArrow(_make_blocks(depth, root, parts, block_bytes), _BLOCKS).write.parquet(path)
+    rows.mapInArrow(_make_blocks(depth, cut, parts, block_bytes), _BLOCKS).write.parquet(path)
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     dealt = blocks.where("kind <> 'documents'")
-    sums = dealt.groupBy("kind", "part").applyInArrow(_sum_part(depth, root), "kind string, part int, payload binary")
+    path = scratch(spark, "ctw-sums")
+    dealt.groupBy("kind", "part").applyInArrow(_sum_part(depth, cut, root, middles), _SUMS).write.parquet(path)
+    lower = spark.read.schema(_SUMS).parquet(path)
+    sums = lower.groupBy("kind", "part").applyInArrow(_storey_sums(cut, root), "kind string, part int, payload binary")
     sums = sums.groupBy("kind", "part").applyInArrow(_join_sums, "kind string, part int, payload binary").collect()  # at most 64 rows of 256**root
-    found = {k: pa.concat_tables([unpack(r.payload) for r in sums if r.kind == k]) for k in {r.kind for r in sums}}
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double").fields])
-    if not found:
+    if not sums:
         return spark.createDataFrame([], schema)
-    g = found["grams"].group_by("row").aggregate([(c, "sum") for c in found["grams"].column_names[1:]]).sort_by("row")
-    crown_rows = g["row"].to_numpy()
-    top = ctw.crown(crown_rows, g["n_sum"].to_numpy(), np.array([g[f"s{i}_sum"].to_numpy() for i in range(8)]), root)
-    total, distinct = (sum(found["words"][c].to_pylist()) for c in ("total", "distinct"))
-    answers = dealt.groupBy("kind", "part").applyInArrow(_answer_part(depth, root, crown_rows, top), "block string, kind string, payload binary")
+    crown_rows, n, at_crown, _ = _summed([r.payload for r in sums if r.kind == "grams"])
+    top = ctw.crown(crown_rows, n, at_crown, root)
+    words = pa.concat_tables([unpack(r.payload) for r in sums if r.kind == "words"])
+    total, distinct = (sum(words[c].to_pylist()) for c in ("total", "distinct"))
+    told = lower.where("kind = 'grams'").groupBy("part").applyInArrow(_answer_storey(cut, root, crown_rows, top), "kind string, part int, payload binary")
+    answers = dealt.groupBy("kind", "part").cogroup(told.groupBy("kind", "part")).applyInArrow(_answer_part(depth, cut), "block string, kind string, payload binary")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     documents = blocks.where("kind = 'documents'").select("block", "payload")

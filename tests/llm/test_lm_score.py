@@ -102,3 +102,23 @@ def test_odd_rows(spark, odd_rows):
     assert lm_score.score_documents(odd_rows.limit(0), F.lit(True)).count() == 0
     only = lm_score.score_documents(odd_rows.where("doc_id = 5"), F.lit(True)).collect()
     assert len(only) == 2 and only[0].train_tokens == 0 and abs(only[0].score + only[0].n_bytes * 8 * math.log10(2)) < 1e-5
+
+
+def test_cuts_do_not_change_scores(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 102, 5))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 30)), i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean").repartition(3)
+    got = [
+        {r.doc_id: r.score for r in lm_score.score_documents(df, F.col("h"), depth=5, cut=cut, root=root, block_bytes=block).collect()}
+        for cut, root, block in ((4, 2, 64), (3, 1, 256), (5, 2, 16 << 20))
+    ]
+    for other in got[1:]:
+        assert all(abs(other[i] - s) < 1e-5 * -s for i, s in got[0].items())
+
+
+def test_a_hot_context_is_dealt_over_parts():
+    """Texts whose last two bytes of context are nearly always the same: dealt by four bytes, no part holds more than a few of them."""
+    keys = (np.arange(1 << 16, dtype=np.uint64) << np.uint64(24)) | np.uint64(0x6574_61)
+    assert len(np.unique(lm_score._gram_part(keys, 2, 50))) == 1
+    assert np.bincount(lm_score._gram_part(keys, 4, 50)).max() < 2 * len(keys) / 50
