@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from quillgraph.plans.scratch import scratch
 
 from . import ctw
-from .common import of_hash, pack, text_bytes, unpack
+from .common import of_hash, pack, small_batches, text_bytes, unpack
 
 END = b"\n"
 UNKNOWN = -1.0  # log10(0 + 0.1)
@@ -130,16 +130,20 @@ class _Block:
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 n = np.diff(np.r_[first, len(keys)])
                 self.grams.append((keys[first], np.zeros_like(n) if out else n))
-        if len(self.grams) > 16:
+        if len(self.grams) > 8:
             self.grams = [ctw.merged(*map(np.concatenate, zip(*self.grams, strict=True)))]
-        self.rows.append(pa.table({"id": ids, "held": pa.array(held, pa.bool_()), "coded": pa.array(coded, pa.large_binary())}))
+        # the ids are copied, since a slice would keep its whole batch
+        self.rows.append(pa.table({"id": pa.array(ids.to_pylist(), ids.type), "held": pa.array(held, pa.bool_()), "coded": pa.array(coded, pa.large_binary())}))
 
     def emit(self, name: str) -> Iterator[pa.RecordBatch]:
         def row(part: int, kind: str, table: pa.Table) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([kind]), pa.array([pack(table)], pa.binary())], ["block", "part", "kind", "payload"])
 
-        yield row(-1, "documents", pa.concat_tables(self.rows).combine_chunks())
+        rows, self.rows = self.rows, []
+        yield row(-1, "documents", pa.concat_tables(rows).combine_chunks())
+        del rows
         keys, counts = ctw.merged(*map(np.concatenate, zip(*self.grams, strict=True)))
+        self.grams = []
         part = _gram_part(keys, self.cut, self.parts)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -169,16 +173,17 @@ def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
 def _make_blocks(depth: int, cut: int, parts: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block, n = TaskContext.get().partitionId(), _Block(depth, cut, parts), 0
-        for batch in batches:
-            texts, held, a, size = text_bytes(batch.column("text")), batch.column("held").to_pylist(), 0, 0
-            for b, x in enumerate(texts, 1):
-                size += len(x)
-                if b == len(texts) or size >= SLICE or block.size + size >= block_bytes:
-                    block.add(batch.column("id").slice(a, b - a), held[a:b], texts[a:b])
-                    a, size = b, 0
-                if block.size >= block_bytes:
-                    yield from block.emit(f"{task}-{n}")
-                    block, n = _Block(depth, cut, parts), n + 1
+        for whole in batches:
+            for batch in small_batches(whole, "text", SLICE):
+                texts, held, a, size = text_bytes(batch.column("text")), batch.column("held").to_pylist(), 0, 0
+                for b, x in enumerate(texts, 1):
+                    size += len(x)
+                    if b == len(texts) or block.size + size >= block_bytes:
+                        block.add(batch.column("id").slice(a, b - a), held[a:b], texts[a:b])
+                        a, size = b, 0
+                    if block.size >= block_bytes:
+                        yield from block.emit(f"{task}-{n}")
+                        block, n = _Block(depth, cut, parts), n + 1
         if block.rows:
             yield from block.emit(f"{task}-{n}")
 
