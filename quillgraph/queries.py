@@ -757,3 +757,72 @@ def activity_windows(spark, sf_dir):
 
     e = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return tumbling(e, "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ----- queries over what stands beside the main path ----------------------------------------------------------------
+
+
+@add(f"""with {_CLAIMS}, {_BM25}, near as (select q.vec_id question_id, c.id, list_inner_product(e.embedding::double[], q.embedding::double[]) cosine
+  from claims c join embeddings e on e.vec_id = c.ord % 100 join embeddings q on q.vec_id in (select question_id from questions))
+select question_id, doc_id, round(score + 0.3 * coalesce(cosine, 0), 6) score from kept left join near using (question_id, id)""")
+def hybrid_with_vectors(spark, sf_dir):
+    claims, _, index = _index(spark, sf_dir)
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = questions(spark).join(e, F.col("question_id") == F.col("vec_id")).drop("vec_id")
+    vectors = claims.select("id", (F.col("ord") % 100).alias("vec_id")).join(e, "vec_id").drop("vec_id")
+    return retrieve.hybrid(index, asked, vectors).select("question_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _empty_packs(spark, sf_dir):
+    claims, found, top = _top(spark, sf_dir)
+    nothing = F.lit(False)
+    return retrieve.context_packs(questions(spark), top.where(nothing), store.upsert_entities(None, entity_rows(spark, sf_dir)), found, claims)
+
+
+@add(f"with {_QUESTIONS} select question_id, question, 0 snippets, 0 entities, 0 citations, 'No indexed evidence.' notice, concat('QUESTION  ', question, chr(10), chr(10), 'OPEN QUESTIONS', chr(10), '* No indexed evidence.') text from questions")
+def empty_index_answer(spark, sf_dir):
+    found = stored(_empty_packs(spark, sf_dir), "empty-packs")
+    sizes = [F.coalesce(F.array_size(c), F.lit(0)).alias(c) for c in ("snippets", "entities", "citations")]
+    return found.select("question_id", "question", *sizes, F.array_join("ambiguities.text", ";").alias("notice")).join(retrieve.render(found), "question_id")
+
+
+@add(f"with {_QUESTIONS} select question_id, question, concat(replace(replace(replace(substr(question, 1, 40), ' ', '_'), '?', ''), '/', '_'), '.json') file from questions")
+def pack_files(spark, sf_dir):
+    from quillgraph.plans.scratch import scratch
+    from quillgraph.sources import config
+
+    path = scratch(spark, "pack-files")
+    config.export_packs(_empty_packs(spark, sf_dir), path)
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "question_id int, question string").alias("x"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    return files.select("x.*", "file")
+
+
+@add(f"with recursive {_PERSONS}, known as (select email, concat('employee ', split_part(email, '@', 1)) employee from people where ends_with(email, '@d0.example') group by email) select id, email, employee from people left join known using (email)")
+def directory_identity(spark, sf_dir):
+    found = people(spark, sf_dir).withColumn("email", F.element_at("emails", 1))
+    known = found.where("email like '%@d0.example'").select("email", F.concat(F.lit("employee "), F.split_part("email", F.lit("@"), F.lit(1))).alias("employee")).distinct()
+    return entities.directory(found, known).select("id", "email", "employee")
+
+
+@add("select x.label k, x.vec_id a, y.vec_id b from embeddings x join embeddings y on x.label = y.label and x.vec_id < y.vec_id where list_inner_product(x.embedding::double[], y.embedding::double[]) >= 0.3 and (x.vec_id + y.vec_id) % 3 > 0")
+def judged_pairs(spark, sf_dir):
+    e = views.table(spark, sf_dir, "embeddings")
+    found = C.semantic_pairs(e, key="label", id_col="vec_id", vector_col="embedding", threshold=0.3)
+    return C.judged(found, (F.col("a") + F.col("b")) % 3 > 0).select("k", "a", "b")
+
+
+@add("select concat(lower(replace(n_name, ' ', '.')), '@nation.example') as alias, concat('region', cast(n_regionkey as varchar), '@region.example') target from nation")
+def alias_overrides(spark, sf_dir):
+    from quillgraph.plans.scratch import scratch
+    from quillgraph.sources import config
+
+    path = scratch(spark, "overrides")
+    n = views.table(spark, sf_dir, "nation")  # a settings file, made of a table that does not grow
+    pair = F.struct(F.concat(F.lower(F.replace("n_name", F.lit(" "), F.lit("."))), F.lit("@nation.example")), F.concat(F.lit("region"), "n_regionkey", F.lit("@region.example")))
+    n.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(pair)).alias("person_aliases")))).coalesce(1).write.text(path)
+    return config.overrides(spark, path)
+
+
+@add(f"with {_MAIL} select message_id, concat('rules:', '{ids.SCHEMA_VERSION}', ':', substr(md5('{extract.PROMPT.replace("'", "''")}' || 'v1'), 1, 8)) as version from mail")
+def extraction_versions(spark, sf_dir):
+    return mails(spark, sf_dir).select("message_id", extract.extraction_version("rules").alias("version"))
