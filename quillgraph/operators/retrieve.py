@@ -119,12 +119,17 @@ def hybrid(index: Index, questions: DataFrame, vectors: DataFrame | None = None,
     return out.withColumn("score", score)
 
 
-def select_top(scored: DataFrame, *, k: int = 10, per_source: int = 3) -> DataFrame:
-    """At most per_source documents of a source and k of a question, by score, ties in index order; `rank` counts from 1."""
+def select_top(scored: DataFrame, docs: DataFrame | None = None, *, k: int = 10, per_source: int = 3) -> DataFrame:
+    """At most per_source documents of a source and k of a question, by score, ties in index order; `rank` counts from 1. With docs, the index's documents
+    (doc_id unique), only the columns that decide go through the two rankings, and the chosen rows get their texts from docs."""
+    deciding = ["doc_id", "source_id", "support_count", "confidence", "id", "evidence_id"]
+    if docs is not None:
+        scored = scored.select(*deciding, *[c for c in scored.columns if c not in docs.columns])
     # scores are compared at nine decimals, since sums differ in their last bits from run to run
     order = [F.desc(F.round("score", 9)), F.desc("support_count"), F.desc("confidence"), "id", "evidence_id"]
     own = scored.withColumn("rs", F.row_number().over(Window.partitionBy("question_id", "source_id").orderBy(*order))).where(F.col("rs") <= per_source)
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= k).drop("rs")
+    top = own.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= k).drop("rs")
+    return top if docs is None else top.join(docs.drop(*deciding[1:]), "doc_id")
 
 
 def linked_entities(top: DataFrame, entities: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def build(spark: SparkSession, raw: DataFrame, overrides: DataFrame | None = Non
 def answer(graph: dict[str, DataFrame], questions: DataFrame, vectors: DataFrame | None = None, *, index: retrieve.Index | None = None, top_k: int = 10, min_confidence: float = 0.3, current_only: bool = True) -> DataFrame:
     """Context packs for a table of questions (question_id, question). An index that was built before saves building one."""
     index = index or retrieve.build_index(retrieve.documents(graph["claims"], graph["evidence"]))
-    top = stored(retrieve.select_top(retrieve.hybrid(index, questions, vectors, least=min_confidence, current_only=current_only), k=top_k), "top")
+    top = stored(retrieve.select_top(retrieve.hybrid(index, questions, vectors, least=min_confidence, current_only=current_only), index.docs, k=top_k), "top")
     return retrieve.context_packs(questions, top, graph["entities"], graph["conflicts"], graph["claims"], graph["messages"])
 
 

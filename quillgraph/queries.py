@@ -693,8 +693,8 @@ def hybrid_scores(spark, sf_dir):
 
 
 def _top(spark, sf_dir):
-    claims, found, docs = _index(spark, sf_dir)
-    return claims, found, stored(retrieve.select_top(retrieve.hybrid(docs, questions(spark))), "top")
+    claims, found, index = _index(spark, sf_dir)
+    return claims, found, stored(retrieve.select_top(retrieve.hybrid(index, questions(spark)), index.docs), "top")
 
 
 @add(f"with {_CLAIMS}, {_BM25} select question_id, rank::int rank, id, evidence_id, source_id, round(score, 4) score from top")
