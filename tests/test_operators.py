@@ -332,3 +332,10 @@ def test_top_when_one_source_fills_the_head(spark, monkeypatch, head):
     q = spark.createDataFrame([(1, "red"), (2, "blue")], "question_id int, question string")
     top = retrieve.select_top(retrieve.hybrid(index, q), index.docs, k=6).orderBy("question_id", "rank").collect()
     assert [r.id for r in top] == ["c00", "c01", "c02", "c12", "c13", "c14"] * 2 and [r.rank for r in top] == [*range(1, 7)] * 2
+
+
+def test_near_pairs_send_no_exploded_rows(spark):
+    h = spark.createDataFrame([("a", 1, 0), ("b", 2, 7), ("c", 3, -1)], "id string, ord long, simhash long")
+    pairs = dedup.near_pairs(h, id_col="id")
+    assert "SortMergeJoin [choice" in _plan(pairs)
+    assert [(r.a, r.b, r.distance) for r in pairs.collect()] == [("a", "b", 3)]
