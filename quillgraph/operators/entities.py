@@ -46,19 +46,23 @@ def similar_names(people: DataFrame, *, least: float = 0.4) -> DataFrame:
     """(a, b): links between persons that share a user name and whose names' tokens have a Jaccard similarity of at least `least`.
 
     Persons with the same user name and tokens are tied to the first of them. Different token sets of a user name are compared when they share one of
-    the rarest tokens that the threshold allows none of to be missed (a prefix filter), so a user name like `info` costs far less than all pairs.
+    the rarest tokens that the threshold allows none of to be missed (a prefix filter for each two sizes of sets, which fix how many tokens two sets must
+    share), so a user name like `info`, or a word that is in all names, costs far less than all pairs.
     """
     own = people.select(_at(), F.explode(F.array_distinct(F.transform("emails", text.username))).alias("user"), F.sort_array(text.name_tokens(F.col("name"))).alias("tokens")).where(F.size("tokens") > 0)
     classes = stored(own.groupBy("user", "tokens").agg(F.min("at").alias("at"), F.count("*").alias("n")), "name-classes")
     same = own.join(classes.where("n > 1").select("user", "tokens", F.col("at").alias("first")), ["user", "tokens"]).where("at <> first").select(F.col("first.id").alias("a"), F.col("at.id").alias("b"))
-    several = classes.groupBy("user").agg(F.count("*").alias("m")).where("m > 1").select("user")
-    each = classes.join(several, "user", "left_semi").select("user", "at", "tokens", F.explode("tokens").alias("token"))
+    several = classes.groupBy("user").agg(F.count("*").alias("m"), F.collect_set(F.size("tokens")).alias("sizes")).where("m > 1").drop("m")
+    each = classes.join(several.select("user"), "user", "left_semi").select("user", "at", "tokens", F.explode("tokens").alias("token"))
     rare = each.groupBy("user", "token").agg(F.count("*").alias("seen"))
     ranked = each.join(rare, ["user", "token"]).groupBy("user", "at", "tokens").agg(F.sort_array(F.collect_list(F.struct("seen", "token"))).alias("by"))  # a name's tokens
-    keep = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(least) - 1e-9).cast("int") + 1
-    probes = ranked.select("user", "at", "tokens", F.explode(F.transform(F.slice("by", F.lit(1), keep), lambda x: x["token"])).alias("token"))
-    a, b = (probes.select("user", "token", F.col("at").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
-    near = a.join(b, ["user", "token"]).where((F.col("a") < F.col("b")) & (text.jaccard(F.col("ta"), F.col("tb")) >= least))
+    m, s = F.size("tokens"), F.col("size")
+    sized = ranked.join(several, "user").select("user", "at", "tokens", "by", F.explode("sizes").alias("size")).where((s >= m * least - 1e-9) & (m >= s * least - 1e-9))
+    keep = m - F.greatest(F.ceil((m + s) * F.lit(least / (1 + least)) - 1e-9).cast("int"), F.lit(1)) + 1
+    probes = sized.select("user", "at", "tokens", F.least(m, s).alias("less"), F.greatest(m, s).alias("more"), F.explode(F.transform(F.slice("by", F.lit(1), F.least(keep, m)), lambda x: x["token"])).alias("token"))
+    meet = ["user", "token", "less", "more"]
+    a, b = (probes.select(*meet, F.col("at").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    near = a.join(b, meet).where((F.col("a") < F.col("b")) & (text.jaccard(F.col("ta"), F.col("tb")) >= least))
     return same.unionByName(near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
 
 

@@ -339,3 +339,23 @@ def test_near_pairs_send_no_exploded_rows(spark):
     pairs = dedup.near_pairs(h, id_col="id")
     assert "SortMergeJoin [choice" in _plan(pairs)
     assert [(r.a, r.b, r.distance) for r in pairs.collect()] == [("a", "b", 3)]
+
+
+def test_word_in_all_names_compares_nobody(spark, monkeypatch):
+    rows = [(i, f"Customer {i}", [f"c{i}@x", "team@x"]) for i in range(300)]
+    p = entities.persons(spark.createDataFrame(rows, "ord int, name string, emails array<string>"))
+    monkeypatch.setattr(entities.text, "jaccard", lambda a, b: F.when(a != b, F.raise_error(F.lit("compared")).cast("double")).otherwise(1.0))
+    assert entities.similar_names(p).count() == 0 and entities.edges(p).count() == 299
+
+
+def test_similar_names_against_all_pairs(spark):
+    rng = random.Random(4)
+    names = [" ".join(rng.sample(["ann", "bo", "cy", "di", "ed", "flo", "gus"], rng.randint(1, 6))) for _ in range(60)]
+    p = entities.persons(spark.createDataFrame([(i, n, [f"info@h{i}"]) for i, n in enumerate(names)], "ord int, name string, emails array<string>"))
+    ids = {r.ord: r.id for r in p.collect()}
+    sets = [frozenset(n.split()) for n in names]
+    first = {s: sets.index(s) for s in sets}
+    for least in (0.3, 0.4, 0.5, 0.9):
+        wanted = {(i, j) for i in first.values() for j in first.values() if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
+        wanted |= {(first[s], i) for i, s in enumerate(sets) if first[s] != i}
+        assert {(r.a, r.b) for r in entities.similar_names(p, least=least).collect()} == {(ids[i], ids[j]) for i, j in wanted}
