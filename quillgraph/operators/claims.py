@@ -127,10 +127,50 @@ def semantic_groups(claims: DataFrame, *, threshold: float = 0.92, head: int = 2
     return done if done is not None else claims.select("ord", F.col("ord").alias("leader_ord"))
 
 
+#: Vectors of a key in a tile; two tiles are one product of matrices.
+TILE = 2048
+
+
+def _tiles(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        k, i, j = (rows[c].iloc[0] for c in ("k", "i", "j"))
+        left = (rows["tile"] == i).to_numpy()
+        right = (rows["tile"] == j).to_numpy()
+        ids, v = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float)
+        at_a, at_b, b = np.flatnonzero(left), np.flatnonzero(right), v[right].T
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        with np.errstate(all="ignore"):
+            slack = 1e-9 * (1 + np.sqrt((v * v).sum(axis=1).max()) ** 2)  # the product adds in another order
+            for n in range(0, len(at_a), 256):
+                some = at_a[n : n + 256]
+                x, y = np.nonzero(~(v[some] @ b < threshold - slack))
+                x, y = some[x], at_b[y]
+                ordered = ids[x] < ids[y]
+                swap = ids[y] < ids[x] if i != j else np.zeros(len(x), bool)  # a tile with itself has each pair both ways
+                x, y = np.r_[x[ordered], y[swap]], np.r_[y[ordered], x[swap]]
+                cosine = np.zeros(len(x))
+                for d in range(v.shape[1]):
+                    cosine += v[x, d] * v[y, d]
+                close = ~(cosine < threshold)
+                found.append((ids[x[close]], ids[y[close]], cosine[close]))
+        a, b, cosine = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ((), (), ())
+        return pd.DataFrame({"k": [k] * len(a), "a": a, "b": b, "cosine": cosine})
+
+    return run
+
+
 def semantic_pairs(vectors: DataFrame, *, key: str, id_col: str, vector_col: str, threshold: float) -> DataFrame:
-    """(a, b) within a key whose cosine reaches the threshold, by an equi-join on the key: candidates for a judge."""
-    a, b = (vectors.select(F.col(key).alias("k"), F.col(id_col).alias(x), F.col(vector_col).alias(f"v{x}")) for x in "ab")
-    return a.join(b, "k").where("a < b").withColumn("cosine", dot(F.col("va"), F.col("vb"))).where(F.col("cosine") >= threshold).select("k", "a", "b", "cosine")
+    """(k, a, b, cosine) within a key whose cosine reaches the threshold: candidates for a judge. A key's vectors are dealt to tiles and every two tiles of it are
+    compared by products of matrices, so that a large key is many tasks; each pair that comes near is added up again in the vectors' order."""
+    own = vectors.select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    own = own.where(F.col("k").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())).withColumn("width", F.size("v"))
+    tiles = own.groupBy("k", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    dealt = own.join(tiles, ["k", "width"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    each = dealt.select("k", "width", "id", "v", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    each = each.select("k", "width", "id", "v", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    kind = own.schema
+    out = f"k {kind['k'].dataType.simpleString()}, a {kind['id'].dataType.simpleString()}, b {kind['id'].dataType.simpleString()}, cosine double"
+    return each.groupBy("k", "width", "i", "j").applyInPandas(_tiles(threshold), out)
 
 
 def judged(pairs: DataFrame, judge: Column | None = None) -> DataFrame:

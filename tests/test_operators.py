@@ -359,3 +359,19 @@ def test_similar_names_against_all_pairs(spark):
         wanted = {(i, j) for i in first.values() for j in first.values() if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
         wanted |= {(first[s], i) for i, s in enumerate(sets) if first[s] != i}
         assert {(r.a, r.b) for r in entities.similar_names(p, least=least).collect()} == {(ids[i], ids[j]) for i, j in wanted}
+
+
+def test_semantic_pairs_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(C, "TILE", 3)
+    rng = random.Random(5)
+    rows = [(i, i % 2, [rng.uniform(-1, 1) for _ in range(4)] if i % 9 else None) for i in range(40)] + [(50, 0, [1.0, 1.0]), (51, 0, [1.0, 1.0]), (52, 0, [1.0, None]), (53, None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, k int, v array<float>")
+    kept = [(r.id, r.k, [None if x is None else float(x) for x in r.v]) for r in df.where("v is not null and k is not null").collect()]
+    wanted = {}
+    for i, k, v in kept:
+        for j, m, w in kept:
+            if k == m and i < j and len(v) == len(w) and None not in v + w and (c := sum((x * y for x, y in zip(v, w)), 0.0)) >= 0.2:
+                wanted[i, j] = round(c, 12)
+    got = C.semantic_pairs(df, key="k", id_col="id", vector_col="v", threshold=0.2).collect()
+    assert len(got) == len(wanted) and {(r.a, r.b): round(r.cosine, 12) for r in got} == wanted
+    assert C.semantic_pairs(df.limit(0), key="k", id_col="id", vector_col="v", threshold=0.2).count() == 0
