@@ -7,13 +7,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def classes(labels: DataFrame, label: str, train: Column, id_col: str) -> DataFrame:
+    """(__id, y) of all training rows: null labels are left out, an id labelled more than once has its greatest label."""
+    return labels.where(train).where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, *, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, int]]:
     """Up to per_class training rows (id, text columns of docs, y) of each class, by a hash of the id, and the classes' sizes.
 
     `train` is a condition on the labels' rows. The sample's ids, at most 2 * per_class, are broadcast; the documents aren't shuffled.
-    Null labels are left out; an id labelled more than once has its greatest label.
     """
-    own = labels.where(train).where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("y"))
+    own = classes(labels, label, train, id_col)
     sizes = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     some = [own.where(F.col("y") == y).orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(per_class) for y in (0, 1)]
     return docs.join(F.broadcast(some[0].unionByName(some[1])), F.col(id_col) == F.col("__id")).drop("__id"), sizes

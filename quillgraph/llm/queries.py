@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.plans.scratch import stored
+
 from . import external_shuffle, html_layout, lm_score, near_dup, quality_rank, robust_outliers, secrets, source_mix, toxicity, wu_manber
 from .common import crc_share
 
@@ -48,8 +50,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = quality_rank.fit(docs, labels, ~crc_share(F.col("doc"), 3, 1))
-    found = quality_rank.score(docs, model)
+    x = stored(quality_rank.vectors(docs), "quality-vectors")
+    found = quality_rank.score_vectors(x, quality_rank.fit_all(x, labels, ~crc_share(F.col("doc"), 3, 1)))
     return found.select("doc_id", crc_share(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -244,3 +244,39 @@ def test_html_edges(spark):
     got = html_layout.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(1), "text": F.lit("t")})).collect()
     assert [r.text for r in got][:2] == [None, ""] and len(got) == 5
     assert html_layout.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_all_training_rows_and_pairs_count(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(quality_rank, "features", lambda texts: np.zeros((len(texts), 3)))
+    x = rng.normal(size=(500, 3)) * [1, 3, 0.2] + [0, 5, 1]
+    good = (x @ [2.0, -0.5, 1.0] + rng.logistic(size=500) > 0).astype(int)
+    found = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id int, x array<double>")
+    rows = [(i, int(y)) for i, y in enumerate(good)]
+    labels = spark.createDataFrame([*rows, *rows[:9], (3, None), (None, 1), (9999, 0)], "doc_id int, quality int")
+    model = quality_rank.fit_all(found, labels, F.col("doc") % 5 > 0)
+    own = np.arange(500) % 5 > 0
+    z = (x - x[own].mean(axis=0)) / x[own].std(axis=0)
+    a, b = np.flatnonzero(own & (good == 1)), np.flatnonzero(own & (good == 0))
+    d = (z[a][:, None] - z[b][None]).reshape(-1, 3)  # every pair, by plain gradient steps
+    w = np.zeros(3)
+    for _ in range(2000):
+        w += 2 * ((d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(axis=0) - w / 60_000)
+    assert np.allclose(model.weights, w, atol=2e-3)
+    s = np.sort((x[own] - model.centre) / model.scale @ model.weights)
+    assert model.threshold == pytest.approx((s[len(b) - 1] + s[len(b)]) / 2, abs=1e-9)
+    scored = {r.doc_id: r.score for r in quality_rank.score_vectors(found, model).collect()}
+    assert len(scored) == 500 and sum(scored[i] >= 0.5 for i in np.flatnonzero(own)) == len(a)
+    for one, wanted in ((1, 1.0), (0, 0.0), (None, 0.5)):
+        some = labels.where(F.col("quality") == one if one is not None else F.lit(False))
+        alone = quality_rank.score_vectors(found, quality_rank.fit_all(found, some, F.lit(True)))
+        assert {round(r.score, 6) for r in alone.collect()} == {wanted}
+
+
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_ranks_are_exact(spark, most):
+    rng = np.random.default_rng(7)
+    for s in (rng.normal(size=300), rng.integers(0, 4, 300) * 1.0, np.r_[np.full(299, 2.0), 1e9]):
+        frame, s = spark.createDataFrame([(float(v),) for v in s], "s double"), np.sort(s)
+        for k in (1, 120, 299, 300):
+            assert quality_rank._around(frame, k, 300, most) == (s[k - 1], s[min(k, 299)])
