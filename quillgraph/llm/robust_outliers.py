@@ -147,92 +147,97 @@ def _wanted(rows: DataFrame, least_rows: int) -> DataFrame:
     return out.unionByName(whole.where(enough & (F.col("least") < least_rows)).select(_key(2, none, none).alias("key"), "n"))
 
 
-# The long sums below are written as SQL text: each becomes a column by one call, where building it operator by operator costs hundreds.
+# The long sums below are written as SQL text: each becomes a column by one call, where building it operator by operator costs hundreds. Statistics are
+# measured in their floors, the same for all groups, so a step's tables hold an estimate and nothing else: every step is planned anew, and wide plans fill the driver.
 _CELLS = [(i, j) for i in range(P) for j in range(i + 1)]
-_INVERSE = [f"w_{i}_{j}" for i, j in _CELLS]
+_Z = [f"{s} / {floor!r}D" for s, floor in FLOORS.items()]
+_MEANS = [f"mu_{i}" for i in range(P)]
 
 
 def _inverted(table: DataFrame, kept: list[str], covariance: dict[tuple[int, int], str]) -> DataFrame:
-    """The kept columns with w_i_j, the covariance's inverse, and log_det, the logarithm of its determinant: one sweep (a Gauss-Jordan step in place) for each
-    statistic. Each sweep is a projection of its own, so that no expression is written out within another."""
-    at = lambda i, j: f"w_{max(i, j)}_{min(i, j)}"
-    table = table.selectExpr(*kept, "0D as log_det", *[f"{covariance[i, j]} as w_{i}_{j}" for i, j in _CELLS])
-    for k in range(P):
-        swept = [f"{'-1 / pivot' if i == j == k else f'{at(i, j)} / pivot' if k in (i, j) else f'{at(i, j)} - {at(i, k)} * {at(j, k)} / pivot'} as w_{i}_{j}" for i, j in _CELLS]
-        table = table.selectExpr(*kept, "log_det", *_INVERSE, f"greatest({at(k, k)}, 1e-12D) as pivot").selectExpr(*kept, "log_det + ln(pivot) as log_det", *swept)
-    return table.selectExpr(*kept, "log_det", *[f"-{c} as {c}" for c in _INVERSE])
+    """The kept columns with log_det, the logarithm of the covariance's determinant, and w_i_j, its inverse: one sweep (a Gauss-Jordan step in place) for each
+    statistic, over an array of the rows of the matrix."""
+    matrix = ", ".join(f"array({', '.join(f'v_{max(i, j)}_{min(i, j)}' for j in range(P))})" for i in range(P))
+    cell = "if(i = k and j = k, -1 / pivot, if(i = k or j = k, x / pivot, x - a.m[i][k] * a.m[j][k] / pivot))"
+    swept = f"named_struct('log_det', a.log_det + ln(pivot), 'm', transform(a.m, (r, i) -> transform(r, (x, j) -> {cell})))"
+    sweep = f"(a, k) -> transform(array(greatest(a.m[k][k], 1e-12D)), pivot -> {swept})[0]"
+    table = table.selectExpr(*kept, *[f"{covariance[i, j]} as v_{i}_{j}" for i, j in _CELLS])
+    table = table.selectExpr(*kept, f"aggregate(sequence(0, {P - 1}), named_struct('log_det', 0D, 'm', array({matrix})), {sweep}) as swept")
+    return table.selectExpr(*kept, "swept.log_det as log_det", *[f"-swept.m[{i}][{j}] as w_{i}_{j}" for i, j in _CELLS])
 
 
 def distance2() -> Column:
-    """Squared Mahalanobis distance of the statistics' columns under the model's columns m_i, s_i (scaling), mu_i, w_i_j (inverse covariance): one flat sum
-    over pairs of statistics."""
-    z = ", ".join(f"({s} - m_{i}) / s_{i} - mu_{i}" for i, s in enumerate(STATS))
+    """Squared Mahalanobis distance of the statistics' columns under the model's columns mu_i, w_i_j (inverse covariance): one flat sum over pairs of
+    statistics."""
     terms = " + ".join(f"{1 if i == j else 2} * w_{i}_{j} * z[{i}] * z[{j}]" for i, j in _CELLS)
-    return F.expr(f"transform(array(array({z})), z -> {terms})[0]")
+    return F.expr(f"transform(array(array({', '.join(f'{z} - mu_{i}' for i, z in enumerate(_Z))})), z -> {terms})[0]")
 
 
 def _scaling(rows: DataFrame) -> DataFrame:
-    """(key, m_i, s_i): medians and scales by quartiles, from counts of narrow bins; no scale is under its floor."""
+    """The first model: medians and, without correlations, scales by quartiles, from counts of narrow bins; no scale is under its floor."""
     long = rows.select("key", F.posexplode(F.array(*[F.floor(F.col(s) / _BIN).cast("int") for s in STATS])).alias("i", "bin"))
     counts = long.groupBy("key", "i", "bin").agg(F.count("*").alias("c"))
     ranked = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("key", "i").orderBy("bin"))).withColumn("all", F.sum("c").over(Window.partitionBy("key", "i")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), (F.col("bin") + 0.5) * _BIN))
     quartiles = ranked.groupBy("key", "i").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    floor = F.element_at(F.array(*map(F.lit, FLOORS.values())), F.col("i") + 1)
+    scaled = quartiles.select("key", "i", (F.col("q2") / floor).alias("mu"), F.greatest((F.col("q3") - F.col("q1")) / 1.349 / floor, F.lit(1.0)).alias("s"))
     of = lambda i, x: F.max(F.when(F.col("i") == i, x))
-    return quartiles.groupBy("key").agg(*[of(i, F.col("q2")).alias(f"m_{i}") for i in range(P)], *[of(i, F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(floor))).alias(f"s_{i}") for i, floor in enumerate(FLOORS.values())])
-
-
-_BASE = ["n", *[f"{c}_{i}" for c in "ms" for i in range(P)]]
-_MEANS = [f"mu_{i}" for i in range(P)]
-
-
-def _firsts() -> list[Column]:
-    return [F.expr(f"first({c}) as {c}") for c in _BASE]
+    model = scaled.groupBy("key").agg(F.sum(2 * F.ln("s")).alias("log_det"), *[of(i, F.col("mu")).alias(f"mu_{i}") for i in range(P)], *[of(i, 1 / (F.col("s") * F.col("s"))).alias(f"w_{i}_{i}") for i in range(P)])
+    return model.select("key", F.lit(0).alias("start"), *_MEANS, "log_det", *[F.col(f"w_{i}_{j}") if i == j else F.lit(0.0).alias(f"w_{i}_{j}") for i, j in _CELLS])
 
 
 def _binned(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(key, start, bin, before, c, moments, base): counts and sums of the rows under each estimate, by bins of distance."""
-    named = rows.withColumnRenamed("key", "row_key").join(_sent(model), F.col("row_key") == F.col("key"))
-    each = named.select("key", "start", *_BASE, F.floor(F.log1p(distance2()) * _DISTANCE_BIN).cast("int").alias("bin"), *[F.expr(f"({s} - m_{i}) / s_{i} as z_{i}") for i, s in enumerate(STATS)])
+    """(key, start, bin, c, moments, before, n): counts and sums of the rows under each estimate, by bins of distance."""
+    named = rows.withColumnRenamed("key", "row_key").join(model, F.col("row_key") == F.col("key"))
+    each = named.select("key", "start", F.floor(F.log1p(distance2()) * _DISTANCE_BIN).cast("int").alias("bin"), *[F.expr(f"{z} as z_{i}") for i, z in enumerate(_Z)])
     sums = [F.count("*").alias("c"), *[F.expr(f"sum(z_{i}) as a_{i}") for i in range(P)], *[F.expr(f"sum(z_{i} * z_{j}) as b_{i}_{j}") for i, j in _CELLS]]
-    cut = each.groupBy("key", "start", "bin").agg(*_firsts(), *sums)
-    return cut.withColumn("before", F.sum("c").over(Window.partitionBy("key", "start").orderBy("bin")) - F.col("c"))
+    group = Window.partitionBy("key", "start")
+    return each.groupBy("key", "start", "bin").agg(*sums).withColumn("before", F.sum("c").over(group.orderBy("bin")) - F.col("c")).withColumn("n", F.sum("c").over(group))
+
+
+def _consistent(share: float) -> float:
+    """The consistency factor of the nearest share's covariance."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1.0
 
 
-def _estimate(binned: DataFrame, share: float) -> DataFrame:
-    """The model from the nearest share of each group: mean, covariance made consistent, its inverse. No scale is under the statistic's floor."""
-    near = binned.where(F.col("before") < F.col("n") * share)
+def _estimate(near: DataFrame, grow: str) -> DataFrame:
+    """The model from the bins of each group's nearest share: mean, covariance made consistent, its inverse. No scale is under the statistic's floor."""
     moments = [f"a_{i}" for i in range(P)] + [f"b_{i}_{j}" for i, j in _CELLS]
-    total = near.groupBy("key", "start").agg(*_firsts(), *[F.expr(f"sum({c}) as {c}") for c in ("c", *moments)])
-    kept = ["key", "start", *_BASE, *_MEANS]
-    total = total.selectExpr("key", "start", *_BASE, *[f"a_{i} / c as mu_{i}" for i in range(P)], *[f"b_{i}_{j} / c as b_{i}_{j}" for i, j in _CELLS])
-    grow = share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1.0  # the consistency factor of the nearest share's covariance
-    floors = list(FLOORS.values())
-    covariance = {(i, j): f"(b_{i}_{j} - mu_{i} * mu_{j}) * {grow!r}D" + (f" + pow({floors[i]!r}D / s_{i}, 2)" if i == j else "") for i, j in _CELLS}
-    return _inverted(total, kept, covariance)
+    total = near.groupBy("key", "start").agg(*[F.expr(f"sum({c}) as {c}") for c in ("c", *moments)])
+    total = total.selectExpr("key", "start", *[f"a_{i} / c as mu_{i}" for i in range(P)], *[f"b_{i}_{j} / c as b_{i}_{j}" for i, j in _CELLS])
+    return _inverted(total, ["key", "start", *_MEANS], {(i, j): f"(b_{i}_{j} - mu_{i} * mu_{j}) * {grow}" + (" + 1" if i == j else "") for i, j in _CELLS})
 
 
 def fit(stats: DataFrame, *, share: float = 0.75, trial_steps: int = 2, most_steps: int = 10, least_rows: int = 60) -> DataFrame:
     """The model: a row for each group that _wanted() names; stats has lang, source, base_failed and the statistics. After trial_steps each group
-    goes on with its start of least determinant, until no group's determinant falls by a hundredth any more, most_steps at the latest."""
+    goes on with its start of least determinant, until no group's determinant falls by a hundredth any more, most_steps at the latest. log_det is
+    relative to that of the scales by quartiles."""
     rows = stats.where("not base_failed")
     many = stored(_wanted(rows, least_rows), "mcd-wanted")
-    rows = rows.select(F.explode(F.array(*_keys(F.col("lang"), F.col("source")))).alias("row_key"), *STATS).join(_sent(many), F.col("row_key") == F.col("key")).select("key", *STATS)
-    first = _scaling(rows).join(many, "key").select("key", F.lit(0).alias("start"), *_BASE, *[F.lit(0.0).alias(c) for c in _MEANS], *[F.lit(1.0 if i == j else 0.0).alias(f"w_{i}_{j}") for i, j in _CELLS])
-    binned = stored(_binned(rows, stored(first, "mcd")), "mcd-bins")
-    starts = [_estimate(binned, part).withColumn("start", F.lit(k)) for k, part in enumerate((share, 1.0, 0.5))]
-    model = stored(starts[0].unionByName(starts[1]).unionByName(starts[2]), "mcd")
+    starts = {0: share, 1: 1.0, 2: 0.5}
+    send = F.broadcast if many.count() * len(starts) <= 20_000 else lambda model: model  # as in _sent()
+    rows = rows.select(F.explode(F.array(*_keys(F.col("lang"), F.col("source")))).alias("row_key"), *STATS).join(send(many), F.col("row_key") == F.col("key"))
+    rows = stored(rows.select("key", *STATS), "mcd-rows")
+    first = stored(_scaling(rows), "mcd")
+
+    def step(model: DataFrame) -> DataFrame:
+        return stored(_estimate(_binned(rows, send(model)).where(F.col("before") < F.col("n") * share), f"{_consistent(share)!r}D"), "mcd")
+
+    tried = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.lit(part).alias("share")) for k, part in starts.items()]))
+    near = _binned(rows, send(first)).withColumn("tried", tried).where(F.col("before") < F.col("n") * F.col("tried.share")).withColumn("start", F.col("tried.start"))
+    model = stored(_estimate(near, f"array({', '.join(f'{_consistent(part)!r}D' for part in starts.values())})[start]"), "mcd")
     for _ in range(trial_steps):
-        model = stored(_estimate(_binned(rows, model), share), "mcd")
+        model = step(model)
     best = model.groupBy("key").agg(F.min(F.struct("log_det", "start")).alias("x")).select(F.col("key").alias("k"), F.col("x.start").alias("s"))
     model = stored(model.join(best, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s"))).drop("k", "s"), "mcd")
     for _ in range(most_steps):
-        after = stored(_estimate(_binned(rows, model), share), "mcd")
+        after = step(model)
         falls = after.join(model.select("key", F.col("log_det").alias("was")), "key").agg(F.max(F.col("was") - F.col("log_det"))).first()[0]
         model = after
         if falls is None or falls < 1e-2:
             break
-    return model
+    return model.join(first.select("key", F.col("log_det").alias("base")), "key").withColumn("log_det", F.col("log_det") - F.col("base")).drop("base")
 
 
 def judge(stats: DataFrame, model: DataFrame, *, level: float = 1e-6) -> DataFrame:

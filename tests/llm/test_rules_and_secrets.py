@@ -105,6 +105,21 @@ def test_distance_and_determinant_against_numpy(spark):
     assert len(model) == 1 and abs(model[0].log_det - log_det) < 0.3
 
 
+def test_steps_have_small_plans(spark, monkeypatch):
+    """Each step is planned anew in the driver: an estimate's table holds nothing but the estimate, and no plan of a step grows long."""
+    sizes, stored = [], R.stored
+
+    def measured(df, name):
+        sizes.append((name, len(df._jdf.queryExecution().optimizedPlan().numberedTreeString().split("\n")), len(df.columns)))
+        return stored(df, name)
+
+    rows = stored(R.statistics(sample(spark, 300)).select("lang", "source", "quality.*"), "stats")
+    monkeypatch.setattr(R, "stored", measured)
+    R.fit(rows)
+    steps = [x for x in sizes if x[0] == "mcd"]
+    assert len(steps) > 4 and all(columns <= 3 + R.P + R.P * (R.P + 1) // 2 and nodes <= 30 for _, nodes, columns in steps), sizes
+
+
 def test_only_estimates_that_are_taken_are_made(spark):
     rows = spark.createDataFrame([("en", "a")] * 70 + [("en", "b")] * 5 + [("de", "a")] * 80 + [("fr", "c")] * 9 + [(None, None)] * 65, "lang string, source string")
     got = {(r.key.level, r.key.lang, r.key.source): r.n for r in R._wanted(rows, 60).collect()}
