@@ -31,11 +31,22 @@ def merge(claims: DataFrame) -> DataFrame:
     return out.withColumn("id", ids.claim_id(F.col("type"), F.col("subject_id"), F.col("object_id"), F.col("text")))
 
 
+def _identified(claims: DataFrame, merged: DataFrame) -> DataFrame:
+    """claims with claim_id, that of their merged claim, and the evidence's id."""
+    rows = claims.join(merged.select("type", "subject_id", "object_id", F.col("id").alias("claim_id")), ["type", "subject_id", "object_id"])
+    return rows.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start")))
+
+
+def evidence_rows(claims: DataFrame, merged: DataFrame, *, parts: int) -> DataFrame:
+    """What evidence() reads of claims, with `part`, 0 to parts - 1 by the evidence's id: the evidence of a part's rows is in no other part."""
+    rows = _identified(claims, merged).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    return rows.select("ord", "type", "subject_id", "object_id", *[c for c in SPAN if c in claims.columns], "valid_from", "part")
+
+
 def evidence(claims: DataFrame, merged: DataFrame, *, part: tuple[int, int] | None = None) -> DataFrame:
     """Evidence rows of merged claims with their spans, insert-or-ignore by (claim, source, start): the first by ord stays. part: (i, n), only the i-th of n
     parts by id, chosen before rows are shuffled; the n parts are the whole."""
-    rows = claims.join(merged.select("type", "subject_id", "object_id", F.col("id").alias("claim_id")), ["type", "subject_id", "object_id"])
-    rows = rows.withColumn("id", ids.evidence_id(F.col("claim_id"), F.col("source_id"), F.col("char_start"))).withColumnRenamed("valid_from", "ts")
+    rows = _identified(claims, merged).withColumnRenamed("valid_from", "ts")
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(part[1])) == part[0]) if part else rows
     cols = ["claim_id", *[c for c in SPAN if c in claims.columns], "ts"]
     return rows.groupBy("id").agg(F.min(F.struct("ord", *cols)).alias("x")).select("id", "x.*")

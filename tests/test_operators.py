@@ -1,5 +1,6 @@
 """Small cases of the operators, and random ones against sequential models."""
 
+import glob
 import random
 
 import pytest
@@ -347,6 +348,29 @@ def test_index_of_parts(spark):
     assert {r.doc_id for r in index.docs.collect()} == {"a/e", "b/e", "c/e"} and index.facts.first().n == 3
 
 
+def test_rows_are_read_once_for_all_parts(spark):
+    from quillgraph.plans import scratch
+    from quillgraph.sources import views
+
+    rows = scratch.stored(views.claims(spark, "/root/testdata/sf0.001"), "rows")
+    claims = scratch.sent(scratch.stored(C.deduplicate(rows)[0], "claims"))
+    dealt = C.evidence_rows(rows, claims, parts=3)
+    assert "hashpartitioning" not in _plan(dealt) and "text" not in dealt.columns
+    parts = scratch.folders(dealt, "parts", "part", range(4))
+    got = [sorted(r.id for r in C.evidence(x, claims).collect()) for _, x in parts]
+    assert got[:3] == [sorted(r.id for r in C.evidence(rows, claims, part=(i, 3)).collect()) for i in range(3)] and all(got[:3]) and not got[3]
+    assert sorted(C.evidence(rows, claims).collect()) == sorted(r for _, x in parts for r in C.evidence(x, claims).collect())
+    scratch.drop(spark, parts[0][0])
+    assert parts[1][1].count() and not glob.glob(parts[0][0].removeprefix("file://"))
+
+
+def test_stored_documents_hold_each_id_once(spark, tmp_path):
+    built = retrieve.build_index(_documents(spark, [("a", "red", "A", 1)]), f"file://{tmp_path}/index")
+    assert "doc_id" not in spark.read.parquet(f"file://{tmp_path}/index/docs").columns
+    for index in (built, retrieve.open_index(spark, f"file://{tmp_path}/index")):
+        assert [r.doc_id for r in index.docs.collect()] == ["a/e"]
+
+
 def test_index_and_scores_shuffle_no_documents(spark):
     index = retrieve.build_index(_documents(spark, [("a", "red red fox", "A", 1), ("b", "red", "B", 1), ("c", "blue", "C", 1)]))
     q = spark.createDataFrame([(1, "red hen"), (2, "nothing")], "question_id int, question string")
