@@ -25,8 +25,17 @@ def is_reversal(text: Column) -> Column:
 def merge(claims: DataFrame) -> DataFrame:
     """Equal (type, subject, object) become one claim with the first's (by ord) id, text, confidence and time, and the number of merged
     rows as support_count. The rows' evidence stays a table (see evidence()), so no claim gathers an unbounded list."""
+    return _merged(claims, F.count("*"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """merge() of claims from the rows that merge() made of each part of them."""
+    return _merged(parts, F.sum("support_count"))
+
+
+def _merged(rows: DataFrame, support: Column) -> DataFrame:
     first = F.min(F.struct("ord", "text", "confidence", "valid_from")).alias("x")
-    out = claims.groupBy("type", "subject_id", "object_id").agg(first, F.count("*").alias("support_count"))
+    out = rows.groupBy("type", "subject_id", "object_id").agg(first, support.alias("support_count"))
     out = out.select("type", "subject_id", "object_id", "x.*", "support_count")
     return out.withColumn("id", ids.claim_id(F.col("type"), F.col("subject_id"), F.col("object_id"), F.col("text")))
 

@@ -456,3 +456,42 @@ def test_semantic_pairs_over_tiles(spark, monkeypatch):
     got = C.semantic_pairs(df, key="k", id_col="id", vector_col="v", threshold=0.2).collect()
     assert len(got) == len(wanted) and {(r.a, r.b): round(r.cosine, 12) for r in got} == wanted
     assert C.semantic_pairs(df.limit(0), key="k", id_col="id", vector_col="v", threshold=0.2).count() == 0
+
+
+def test_parts_of_evidence_make_the_index_of_all(spark, tmp_path, monkeypatch):
+    from quillgraph.plans import scratch
+    from quillgraph.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    raw = scratch.stored(views.claims(spark, sf), "rows")
+    ranges = views.claims_ranges(spark, sf, 3)
+    assert sorted(r for p in ranges for r in p.collect()) == sorted(raw.collect()) and all(p.count() for p in ranges)
+    merged = C.merge(raw)
+    assert sorted(C.merge_parts(C.merge(ranges[0]).union(C.merge(ranges[1])).union(C.merge(ranges[2]))).collect()) == sorted(merged.collect())
+    claims = scratch.stored(C.supersede(merged, C.conflicts(merged)), "claims")
+    # ids of few letters, so that many come in several parts; and some claims without a text
+    monkeypatch.setattr(C.ids, "evidence_id", lambda *x: F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws("|", *x), 256), 1, 3)))
+    claims = claims.withColumn("text", F.when(F.col("ord") % 5 > 0, F.col("text")).otherwise(""))
+    want = retrieve.build_index(retrieve.documents(claims, C.evidence(raw, claims)))
+    for at, (most, beside) in enumerate(((8 << 20, True), (10, False))):
+        monkeypatch.setattr(retrieve, "small", lambda df, most=most: scratch.small(df, most))
+        monkeypatch.setattr(retrieve, "AT_ONCE", 1000)
+        path = f"{tmp_path}/{at}"
+        got = retrieve.build_index(retrieve.Parts(claims, [C.evidence(p, claims) for p in ranges]), f"file://{path}")
+        assert bool(glob.glob(f"{path}/claims")) == beside == ("text" not in spark.read.parquet(f"file://{path}/docs").columns)
+        assert spark.read.parquet(f"file://{path}/docs").count() > want.docs.count() > 0
+        for index in (got, retrieve.open_index(spark, f"file://{path}")):
+            assert sorted(map(str, index.docs.select(want.docs.columns).collect())) == sorted(map(str, want.docs.collect()))
+            assert {(r.n, r.most, round(r.avgdl, 9)) for r in index.facts.collect()} == {(r.n, r.most, round(r.avgdl, 9)) for r in want.facts.collect()}
+            assert {r.token: round(r.idf, 9) for r in index.idf.collect()} == {r.token: round(r.idf, 9) for r in want.idf.collect()}
+
+
+def test_rows_of_claims_are_never_kept(spark, monkeypatch):
+    from quillgraph import queries
+    from quillgraph.plans import scratch
+
+    before = set(scratch._MADE)
+    index = queries._index(spark, "/root/testdata/sf0.001")[2]
+    assert not [p for p in set(scratch._MADE) - before if "rows" in p or "merged-parts" in p]
+    plan = _plan(retrieve.hybrid(index, queries.questions(spark)))
+    assert "hashpartitioning" not in plan
